@@ -16,18 +16,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.mixing import mixed_sizes
+
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.quality_rules import quality_cascade
 
     return quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.quality_model import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.piece_codec import piece_digests
 
     return piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.personal_data import personal_digest
+
+    return personal_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.token_counts import count_tokens
 
@@ -70,7 +94,35 @@ FROM b
 """
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS k, row_number() OVER () AS r
+  FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no FROM s0),
+s2 AS (SELECT *, (no - 1) % 3 + 1 AS w, 3 * source_size AS cap, sum(source_size) OVER ()::BIGINT AS total FROM s1),
+s3 AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap * (6 // w), no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower,
+         sum(w) OVER (ORDER BY cap * (6 // w), no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s2),
+s4 AS (SELECT *, (total - lower) * 6 >= cap * (6 // w) * rest AS capped FROM s3),
+s5 AS (
+  SELECT *, (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::BIGINT AS lft,
+         (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::BIGINT AS opn FROM s4),
+s AS (
+  SELECT source, source_size, target, least(floor(target)::BIGINT, cap) AS quota
+  FROM (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE (w * lft)::DOUBLE / opn::DOUBLE END AS target FROM s5)),
+p AS (
+  SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size, r ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM d)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (CASE WHEN size = 0 THEN 0 ELSE
+         size * (quota // source_size) + greatest(0, least(size, quota % source_size - start)) END)::BIGINT AS taken
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from barloom.llm.quality_rules import RULES
 
-    return {"op5_quality_rules": OP5_SQL.replace("{rules}", " OR ".join(f"({r.sql})" for r in RULES))}
+    return {"op1_source_mix": OP1_SQL, "op5_quality_rules": OP5_SQL.replace("{rules}", " OR ".join(f"({r.sql})" for r in RULES))}
