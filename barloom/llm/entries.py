@@ -22,6 +22,18 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_hash", "row")
+
+
+def op3_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.metric_tree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.quality_rules import quality_cascade
 
@@ -122,7 +134,20 @@ FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
 """
 
 
+OP3_SQL = r"""
+WITH e AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from barloom.llm.quality_rules import RULES
 
-    return {"op1_source_mix": OP1_SQL, "op5_quality_rules": OP5_SQL.replace("{rules}", " OR ".join(f"({r.sql})" for r in RULES))}
+    return {"op1_source_mix": OP1_SQL, "op3_metric_tree": OP3_SQL, "op5_quality_rules": OP5_SQL.replace("{rules}", " OR ".join(f"({r.sql})" for r in RULES))}
