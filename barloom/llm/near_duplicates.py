@@ -17,8 +17,8 @@
    blocks, and the spanning forests of confirmed links give the components.
 
 MinHash is the one place where a link can be missed: a pair of similarity 0.85
-differs in more than 23 of 64 components with probability 1e-5, and such a pair
-still ends in one component if others link it.
+differs in more than 27 of 64 components with probability 1e-8 (0.8: 1e-5), and a pair
+missed still ends in one component if others link it.
 
 Defined results: null or empty texts have no shingles and are linked with
 nothing; texts with fewer words than a shingle are one shingle; repeated ids
@@ -35,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from barloom.llm.common import arrow_map, batch_of, discard, field, session, stored, texts
 from barloom.llm.components import components
 
-WORDS, COMPONENTS, BITS, CHUNKS, MAX_DIFF = 5, 64, 16, 12, 23
+WORDS, COMPONENTS, BITS, CHUNKS, MAX_DIFF = 5, 64, 16, 14, 27
 #: Members of a key whose pairs are listed; larger keys go by blocks of BLOCK members.
 FEW, BLOCK = 8, 1024
 #: Shingles of a block in which links are confirmed.
@@ -131,7 +132,7 @@ class Forest:
             self.edges.append((i, j))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows sorted by their first n_keys columns, one table for each group."""
     rest: pa.Table | None = None
     for batch in batches:
@@ -149,10 +150,10 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _blocks(members: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+def deal_blocks(members: DataFrame, key: str, sizes: DataFrame, by: str = "node") -> DataFrame:
     """Deal the members of each key to pairs of blocks; sizes: key, n_blocks (only keys with more than one)."""
     m = members.join(sizes, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    m = m.withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("n_blocks")).cast("int"))
+    m = m.withColumn("own", F.pmod(F.xxhash64(by, F.lit(11)), F.col("n_blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
     return m.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("n_blocks", "own", "other")
 
@@ -277,10 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
     many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1")
-    dealt = _blocks(members, "key", many).join(short, "node").select("key", "x", "y", "node", "n", "sig")
+    dealt = deal_blocks(members, "key", many).join(short, "node").select("key", "x", "y", "node", "n", "sig")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _groups(batches, 3):
+        for _, t in groups(batches, 3):
             sigs = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
             if found := compare_signatures(t.column(3).to_numpy(), t.column(4).to_numpy(), sigs, max_diff, least):
                 yield batch_of(_EDGE, [[a for a, _ in found], [b for _, b in found]])
@@ -300,10 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return batch_of(sets, [batch.column(0), batch.column(1), [shingles(t, words).tobytes() for t in texts(batch, 2)]])
 
     chosen = docs.select(F.col(id_col).alias("_own"), hashed.alias("_h"), F.col(text_col).alias("_text")).join(wanted, (F.col("_h") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_id")))
-    full = _blocks(arrow_map(chosen.select("root", "node", "_text"), gather, sets), "root", heavy).select("root", "x", "y", "node", "found")
+    full = deal_blocks(arrow_map(chosen.select("root", "node", "_text"), gather, sets), "root", heavy).select("root", "x", "y", "node", "found")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _groups(batches, 3):
+        for _, t in groups(batches, 3):
             names, at = np.unique(t.column(3).to_numpy(), return_index=True)  # repeated rows count once
             raw = t.column(4).to_pylist()
             found = confirm([np.frombuffer(raw[i], np.uint64) for i in at], least)
@@ -322,10 +323,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns: one document of each component (of equal rows with its id, one)."""
-    found = near_duplicates(docs, id_col, text_col, **options).where("kept")
-    # Equal ids in one component: the first row only; rows without shingles all stay.
-    one = found.groupBy(id_col, "row_hash").agg(F.count("*").alias("_same"), F.max("n_shingles").alias("_n"))
+    found = stored(near_duplicates(docs, id_col, text_col, **options), "near-found")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keys = one.select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"))
-    tagged = docs.withColumn("_h", hashed)
-    return tagged.join(keys, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").drop("_h")
+    gone = found.where("NOT kept").select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    left = docs.withColumn("_h", hashed).join(gone, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    # An id on several rows of one component (rare) would keep them all: then rows are numbered.
+    ids = found.where("kept AND n_shingles > 0").groupBy(id_col, "component_id").agg(F.count("*").alias("same"), F.first("row_hash").alias("_hash"))
+    if ids.where("same > 1").limit(1).count():
+        several = found.where("kept AND n_shingles > 0").select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"), F.lit(1).alias("_in")).distinct()
+        left = left.join(several, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+        at = F.row_number().over(W.partitionBy(id_col, "_in", F.when(F.col("_in").isNull() | F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy("_h"))
+        left = left.withColumn("_n", at).where("_n = 1 OR _in IS NULL")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
