@@ -106,6 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = per_bucket.select("source_no", "bucket", (F.sum("inside").over(W.partitionBy("source_no").orderBy("bucket")) - F.col("inside")).alias("before"))
     within = W.partitionBy("source_no", "bucket").orderBy("key", id_col, "size").rowsBetween(W.unboundedPreceding, 0)
     documents = own.join(before, ["source_no", "bucket"]).withColumn("start", F.col("before") + F.sum("size").over(within) - F.col("size")).select(id_col, "source_no", "size", "start")
+    documents = stored(documents, "mix-documents")
 
     # Slots: enough that even the rarest source meets its quota.
     n = math.ceil(facts["words"] / block_words)
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = hit.join(earlier, ["source_no", "chunk"]).withColumn("rank", rank).withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
     placed = ranked.where("blocks > 0").withColumn("block", F.expr("rank % blocks")).withColumn("done", F.expr(f"(rank div blocks) * source_size + block * {block_words}"))
     take = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words, F.col("quota") - F.col("done"))
-    slots = placed.withColumn("take", take).where("take > 0").select("slot", "source_no", "block", "take")
+    slots = stored(placed.withColumn("take", take).where("take > 0").select("slot", "source_no", "block", "take"), "mix-slots")
     return Mix(documents, sources, slots, block_words)
 
 
