@@ -40,8 +40,9 @@ from pyspark.sql.window import Window as W
 from barloom.llm.common import arrow_map, batch_of, discard, session, stored, texts
 from barloom.llm.near_duplicates import _hash_of, deal_blocks, groups, mixed
 
-LEAST, GRAM, BLOCK, ALL_PAIRS = 50, 8, 8192, 192
-BROADCAST_ROWS = 200_000
+LEAST, GRAM, BLOCK, ALL_PAIRS = 50, 8, 2048, 192  # BLOCK: texts
+#: Shared starts up to which their lists are broadcast to the texts.
+BROADCAST_ROWS = 50_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -137,6 +138,17 @@ def match(owner: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) ->
     return back, ahead, mate
 
 
+def unite(owner: np.ndarray, start: np.ndarray, end: np.ndarray, mate: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unions of each owner's overlapping intervals, with one of their mates."""
+    order = np.lexsort((start, owner))
+    owner, start, end, mate = owner[order], start[order], end[order], mate[order]
+    group = np.cumsum(np.append(False, owner[1:] != owner[:-1]))
+    far = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
+    new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] > far[:-1]))
+    first = np.flatnonzero(new)
+    return owner[first], start[first], np.maximum.reduceat(end, first), mate[first]
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per repeated passage of a document: id, start_word, end_word (exclusive), mate_id.
 
@@ -145,63 +157,59 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     session(docs)
     half = least // 2
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    own = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("heads", T.ArrayType(T.LongType()))])
+    places = T.ArrayType(T.LongType())
+    known = T.StructType([T.StructField("head", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("at", places)])
+    one = T.StructType([known.fields[0], known.fields[2]])
+    own = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("kept", T.ArrayType(one))])
+    kind = pa.list_(pa.struct([("head", pa.int64()), ("at", pa.list_(pa.int64()))]))
 
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, at, heads = [], [], []
+        """Each distinct start of a text once, with its places."""
+        n, kept = [], []
         for t in texts(batch, 2):
             h = word_hashes(t)
-            a, b = kept_positions(h, least)
+            several: dict[int, list[int]] = {}
+            for at, head in zip(*(x.tolist() for x in kept_positions(h, least)), strict=True):
+                several.setdefault(head, []).append(at)
             n.append(len(h))
-            at.append(a)
-            heads.append(b)
-        return batch_of(own, [batch.column(0), batch.column(1), n, at, heads])
+            kept.append([{"head": head, "at": at} for head, at in several.items()])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kept, kind)], names=own.names)
 
-    scanned = arrow_map(docs.select(F.col(id_col), hashed.alias("h"), F.col(text_col)), choose, own)
-    rows = stored(scanned.select(id_col, "text_hash", "n_words", F.arrays_zip("at", "heads").alias("kept")), "passage-rows")
-    suffixes = rows.select("text_hash", F.explode("kept").alias("x")).select(F.col("x.heads").alias("head"), "text_hash", F.col("x.at").alias("at"))
-    known = T.StructType([T.StructField("head", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("at", T.LongType())])
+    rows = stored(arrow_map(docs.select(F.col(id_col), hashed.alias("h"), F.col(text_col)), choose, own), "passage-rows")
+    suffixes = rows.select("text_hash", F.explode("kept").alias("x")).select(F.col("x.head").alias("head"), "text_hash", F.col("x.at").alias("at"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted suffixes those whose start stands in two texts at least; copies of a row once."""
-        rest = np.zeros((0, 3), np.int64)
-        open_ = None  # a head already known to be shared
-
-        def pick(m: np.ndarray):
-            nonlocal open_
-            if not len(m):
-                return None
-            first = np.flatnonzero(np.append(True, m[1:, 0] != m[:-1, 0]))
-            count = np.diff(np.append(first, len(m)))
-            last = np.append(first[1:], len(m)) - 1
-            many = np.repeat((m[first, 1] != m[last, 1]) | (m[first, 0] == open_ if open_ is not None else False), count)
-            open_ = int(m[-1, 0]) if many[-1] else None
-            many &= np.append(True, (m[1:] != m[:-1]).any(1))
-            return batch_of(known, [pa.array(c.copy()) for c in m[many].T]) if many.any() else None
-
+        """Of sorted (start, text) rows those whose start stands in two texts at least, copies once."""
+        rest: pa.Table | None = None
+        open_, last = None, None  # a start known to be shared, and the text that came last
         for batch in batches:
-            m = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(3)], 1)])
-            if not len(m):
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            if not t.num_rows:
                 continue
-            tail = int(np.searchsorted(m[:, 0], m[-1, 0]))
-            if m[tail, 1] != m[-1, 1]:
-                tail = len(m)
-            elif len(m) - tail > 1 and (m[tail:] == m[tail]).all():
-                m = m[: tail + 1]  # copies of one row so far
-            if (out := pick(m[:tail])) is not None:
-                yield out
-            rest = m[tail:]
-        if (out := pick(rest)) is not None:
-            yield out
-
-    hits = stored(suffixes.repartition("head").sortWithinPartitions("head", "text_hash", "at").mapInArrow(shared, known).distinct(), "passage-hits")
+            head, text = t.column(0).to_numpy(), t.column(1).to_numpy()
+            first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+            ends = np.append(first[1:], len(head))
+            many = np.repeat((text[first] != text[ends - 1]) | ((head[first] == open_) if open_ is not None else False), ends - first)
+            many &= np.append((open_, last) != (int(head[0]), int(text[0])), (head[1:] != head[:-1]) | (text[1:] != text[:-1]))
+            tail = int(first[-1])
+            if text[tail] != text[-1] or head[tail] == open_:
+                open_, last, rest = int(head[-1]), int(text[-1]), None
+            else:  # one text so far; its copies are the same row
+                many[tail:] = False
+                open_, last, rest = None, None, t.slice(tail, 1)
+            if many.any():
+                yield from t.filter(pa.array(many)).combine_chunks().to_batches()
+
+    hits = stored(suffixes.repartition("head").sortWithinPartitions("head", "text_hash").mapInArrow(shared, known), "passage-hits")
 
     # -- contexts of the suffixes that are left, from one row of each text
     firsts = rows.groupBy("text_hash").agg(F.min(id_col).alias("_id"), F.max(id_col).alias("_other"), F.count("*").alias("copies"))
-    lists = hits.groupBy("text_hash").agg(F.collect_list(F.struct("at", "head")).alias("hits"))
+    lists = hits.groupBy("text_hash").agg(F.collect_list(F.struct("head", "at")).alias("hits"))
     wanted = lists.join(firsts, "text_hash").select(F.col("text_hash").alias("_hash"), "_id", "hits")
-    few = hits.select("text_hash").distinct().count() <= BROADCAST_ROWS and hits.count() <= 20 * BROADCAST_ROWS
+    few = hits.count() <= BROADCAST_ROWS
     chosen = docs.select(F.col(id_col).alias("_own"), hashed.alias("_h"), F.col(text_col).alias("_text")).join(F.broadcast(wanted) if few else wanted, (F.col("_h") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_id")))
+    # Places of a text with equal contexts (a run of one line, say) match the same and are one member.
     context = T.StructType([*known.fields, T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType())])
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,9 +218,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             w = np.concatenate([np.zeros(half, np.uint32), (word_hashes(t) >> _U(32)).astype(np.uint32) | np.uint32(1), np.zeros(least, np.uint32)])
             # Beyond a text's ends stand values that no other text has there.
             w[:half], w[len(w) - least :] = np.uint32(h & 0xFFFFFFFE), np.uint32(h & 0xFFFFFFFE)
+            alike: dict[tuple, list[int]] = {}
             for x in several:
-                p = x["at"] + half
-                for column, v in zip(out, (x["head"], h, x["at"], w[p - half : p][::-1].tobytes(), w[p + half : p + least].tobytes()), strict=True):
+                for at in x["at"]:
+                    p = at + half
+                    alike.setdefault((x["head"], w[p - half : p][::-1].tobytes(), w[p + half : p + least].tobytes()), []).append(at)
+            for (head, left, right), at in alike.items():
+                for column, v in zip(out, (head, h, at, left, right), strict=True):
                     column.append(v)
         return batch_of(context, out)
 
@@ -223,14 +235,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, 3):
-            owner, at = t.column(3).to_numpy(), t.column(4).to_numpy()
+            owner = t.column(3).to_numpy()
             if len(t) < 2 or (owner == owner[0]).all():
                 continue
             left, right = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint32).reshape(len(t), -1) for i in (5, 6))
             back, ahead, mate = match(owner, left, right, least)
-            ok = mate >= 0
-            if ok.any():
-                yield batch_of(spans, [pa.array(owner[ok]), pa.array((at - back)[ok]), pa.array((at + ahead)[ok]), pa.array(owner[mate[ok]])])
+            ok = np.flatnonzero(mate >= 0)
+            if len(ok):
+                places = t.column(4).combine_chunks().take(pa.array(ok))
+                n = np.diff(places.offsets.to_numpy())
+                at, of = places.flatten().to_numpy(), np.repeat(ok, n)
+                yield batch_of(spans, [pa.array(c) for c in unite(owner[of], at - back[of], at + ahead[of], owner[mate[of]])])
 
     found = stored(dealt.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y").mapInArrow(compare, spans), "passage-spans")
     discard(hits)
