@@ -40,3 +40,17 @@ def run_may_match(filters: list[Filter]) -> Column | None:
         return _COMPARE[f.operator](high if f.operator[0] == ">" else low, value)
 
     return reduce(operator.and_, map(part, filters)) if filters else None
+
+
+def run_may_match_here(run: dict, filters: list[Filter]) -> bool:
+    """run_may_match for statistics that are already on the driver. As in Spark, NaN is the largest number."""
+
+    def part(f: Filter) -> bool:
+        if f.column == "symbol":
+            return f.value in run["symbols"]
+        low, high = (float("inf") if x != x else x for x in (run[f"{f.column}_min"], run[f"{f.column}_max"]))
+        if f.operator == "=":
+            return low <= f.value <= high
+        return _COMPARE[f.operator](high if f.operator[0] == ">" else low, f.value)
+
+    return all(map(part, filters))

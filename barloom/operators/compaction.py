@@ -57,7 +57,7 @@ def compact(spark: SparkSession, root: str, name: str, chunk_rows: int = CHUNK_R
     chunk_statistics(placed).coalesce(1).write.parquet(table.chunk_statistics)
     if block_index:
         block_statistics(placed).coalesce(max(1, chunk_count // 1000)).write.parquet(table.block_statistics)
-    store.write_json(spark, table.manifest, {"table": name, "layout": layout, "chunk_size": chunk_rows, "block_size_rows": block_rows, "chunk_count": chunk_count, "total_rows": total})
+    store.write_json(spark, table.manifest, {"table": name, "layout": layout, "chunk_size": chunk_rows, "block_size_rows": block_rows, "chunk_count": chunk_count, "total_rows": total, "block_index": block_index})
     return Compaction(name, layout, total, chunk_count, table.manifest)
 
 

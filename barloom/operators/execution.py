@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from barloom.operators.scan import MATCHED, run
 from barloom.plans.planner import plan as make_plan
-from barloom.plans.planner import scan_work
+from barloom.plans.planner import work_of
 from barloom.plans.spec import Metrics, Plan, Query, Result
 from barloom.schema import BAR, NUMERIC
 from barloom.sources.store import Table
@@ -60,7 +60,7 @@ def execute_plan(spark: SparkSession, root: str, plan: Plan, compiled: bool = Tr
     with scanning(spark, compiled):
         found = [r.asDict() for r in frame(spark, root, plan, exact, matched=True).collect()]  # a row per group
     matched = sum(r.pop(MATCHED) for r in found)
-    work = scan_work(spark, root, query).first()
+    work = work_of(spark, root, plan)
     pushed = compiled and work["scanned_blocks"] > 0 and any(f.column in NUMERIC for f in query.filters)
     metrics = Metrics(
         total_chunks=plan.total_chunks, scanned_chunks=len(plan.candidates), total_blocks=work["total_blocks"], scanned_blocks=work["scanned_blocks"], rows_available=plan.total_rows,

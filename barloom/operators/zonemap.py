@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.schema import NUMERIC
+from barloom.schema import BAR, NUMERIC
+
+_LONG = T.LongType()
+_ENDS = [T.StructField(f"{c}_{e}", BAR[c].dataType) for c in NUMERIC for e in ("min", "max")]
+_SHARED = [T.StructField("row_count", _LONG), T.StructField("symbols", T.ArrayType(T.StringType())), *_ENDS]
+#: The two tables of statistics, so that reading them needs no look at their files first.
+CHUNK_TABLE = T.StructType([T.StructField("chunk_id", _LONG), *_SHARED])
+BLOCK_TABLE = T.StructType([T.StructField("chunk_id", _LONG), T.StructField("block_id", _LONG), T.StructField("row_start", _LONG), *_SHARED])
 
 
 def _summary() -> list:

@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file was last written, in milliseconds."""
+    p, fs = _path(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     p, fs = _path(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -208,6 +208,23 @@ def test_pruning_never_loses_a_row(spark, tmp_path):
             assert {r[0] for r in hit.select("chunk_id").distinct().collect()} <= named
 
 
+def test_planning_here_and_in_spark_agree(spark, tmp_path, monkeypatch):
+    from barloom.plans import planner
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ABC"), rng.randint(0, 99), 1.0, 2.0, 0.5, rng.choice([float("nan"), 1.0, 50.0, 90.0]), rng.randint(0, 9)) for _ in range(120)]
+    build(spark, tmp_path, rows, 20, "symbol_time", 4)
+    root = str(tmp_path)
+    for filters in ([], ["close>60"], ["close<2", "symbol=B"], ["close=50", "volume>=8"], ["timestamp<=3"], ["symbol=Z"]):
+        q = query_of("bars", ["count"], filters)
+        here = planner.plan(spark, root, q)
+        work = planner.work_of(spark, root, here)
+        with monkeypatch.context() as m:
+            m.setattr(planner, "MOST_HERE", -1)
+            assert [c["chunk_id"] for c in planner.plan(spark, root, q).candidates] == [c["chunk_id"] for c in here.candidates]
+            assert planner.work_of(spark, root, here) == work
+
+
 def test_zone_maps_are_sure_with_nan(spark):
     rows = spark.createDataFrame([("A", i, 1.0, 1.0, 1.0, c, 1) for i, c in enumerate([float("nan"), 200.0, 1.0, 2.0])], BAR)
     placed = with_chunks(number_rows(rows, "time"), 2, 1)
