@@ -31,7 +31,7 @@ MARK = "▁"
 #: Symbols of the longest segment that the arrays take; beyond, the heap.
 ARRAY_SYMBOLS = 40
 #: Segments remembered by a worker, and the longest that is remembered.
-MEMORY, LONGEST = 300_000, 48
+MEMORY, LONGEST = 200_000, 48
 
 _segments = re.compile(r" *[^ ]+| +\Z").findall
 _loaded: dict[str, PieceCodec] = {}
@@ -59,14 +59,16 @@ class PieceCodec:
         self.pair_keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
         self.pair_piece = np.array([i for _, i in pairs] + [0], np.int32)
         self.pair_rank = np.concatenate([rank[self.pair_piece[:-1]], [_NONE]]).astype(np.int32)
-        self.pair_map = {int(k): (int(rank[i]), i) for k, i in pairs}
         self.of_char = np.full(0x110000, -1, np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
         unknown = np.flatnonzero(self.of_char < 0)
         self.of_char[unknown] = n + unknown  # no pair has them; they become bytes at the end
-        self.memory: dict[str, tuple[str, int, str]] = {}
+        self.pair_map: dict[int, tuple[int, int]] = {}  # for the heap, made when first needed
+        # Of remembered segments: the ids joined by commas; and what a segment decodes to, if not itself.
+        self.memory: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     # -- the agenda ---------------------------------------------------------
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +107,8 @@ class PieceCodec:
         return [row[:n] for row, n in zip(symbols.tolist(), length.tolist(), strict=True)]
 
     def _by_heap(self, symbols: list[int]) -> list[int]:
+        if not self.pair_map:
+            self.pair_map = dict(zip(self.pair_keys[:-1].tolist(), zip(self.pair_rank.tolist(), self.pair_piece.tolist(), strict=True), strict=False))
         n, get = len(symbols), self.pair_map.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[int, int, int, int, int]] = []
@@ -180,11 +184,14 @@ class PieceCodec:
         text = "".join(out).replace(MARK, " ")
         return text[1:] if ids and self.names[ids[0]].startswith(MARK) else text
 
-    def _learn(self, segments: list[str], verify: bool) -> dict[str, tuple[str, int, str]]:
-        fresh = {}
+    def _learn(self, segments: list[str], verify: bool) -> tuple[dict[str, str], dict[str, str]]:
+        """The joined ids of new segments, and the decoded forms of those that come back different."""
+        joined, odd = {}, {}
         for s, ids in zip(segments, self.encode_segments(segments, verify), strict=True):
-            fresh[s] = (",".join(map(str, ids)), len(ids), " " + self.decode(ids))
-        return fresh
+            joined[s] = ",".join(map(str, ids))
+            if (back := " " + self.decode(ids)) != s:
+                odd[s] = back
+        return joined, odd
 
     def split(self, text: str) -> list[str]:
         return _segments(" " + text.replace(MARK, " ")) if text else []
@@ -194,14 +201,20 @@ class PieceCodec:
         split = [self.split(t) for t in several]
         known = self.memory
         new = [s for s in {s for x in split for s in x} if s not in known]
-        local = self._learn(new, verify)
-        for s, found in local.items():
-            if len(known) < MEMORY and len(s) <= LONGEST:
-                known[s] = found
+        local, odd = self._learn(new, verify)
+        for s in new:
+            if len(known) >= MEMORY:
+                break
+            if len(s) <= LONGEST:
+                known[s] = local[s]
+                if s in odd:
+                    self.odd[s] = odd[s]
+        odd = self.odd | odd
         out = []
         for x in split:
-            parts = [known.get(s) or local[s] for s in x]
-            out.append((",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]))
+            ids = ",".join([known[s] if s in known else local[s] for s in x])
+            text = "".join(x) if odd.keys().isdisjoint(x) else "".join([odd.get(s, s) for s in x])
+            out.append((ids, ids.count(",") + 1 if ids else 0, text[1:]))
         return out
 
 
