@@ -43,10 +43,12 @@ from barloom.llm.components import components
 WORDS, COMPONENTS, BITS, CHUNKS, MAX_DIFF = 5, 64, 16, 14, 27
 #: Members of a key whose pairs are listed; larger keys go by blocks of BLOCK members.
 FEW, BLOCK = 8, 1024
+#: Keys of more than one block up to which they are broadcast.
+FEW_LARGE = 100_000
 #: Shingles of a block in which links are confirmed.
 BLOCK_SHINGLES = 1_000_000
-#: Candidate rows up to which their keys are broadcast to the texts (16 bytes each).
-BROADCAST_ROWS = 2_000_000
+#: Candidate rows up to which their keys are broadcast to the texts (32 bytes each).
+BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -62,7 +64,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 48:
+        if len(self) < 150_000 and len(word) < 32:
             self[word] = h
         return h
 
@@ -152,7 +154,9 @@ _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 def deal_blocks(members: DataFrame, key: str, sizes: DataFrame, by: str = "node") -> DataFrame:
     """Deal the members of each key to pairs of blocks; sizes: key, n_blocks (only keys with more than one)."""
-    m = members.join(sizes, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    # Broadcast a checked few, so members of a hot key are not dealt to one task by it.
+    few = sizes.limit(FEW_LARGE + 1).count() <= FEW_LARGE
+    m = members.join(F.broadcast(sizes) if few else sizes, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     m = m.withColumn("own", F.pmod(F.xxhash64(by, F.lit(11)), F.col("n_blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
     return m.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("n_blocks", "own", "other")
@@ -198,7 +202,8 @@ def confirm(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 85, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable), kept, and row_hash (of the text)."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept; row_hash (of the text)
+    and root (a number of the component, also where ids repeat or are null)."""
     if max_diff // CHUNKS > 1:
         raise ValueError("index keys allow one error a chunk")
     session(docs)
@@ -315,24 +320,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(links)
     final = nodes.select("node", "fp", "least_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = final.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_set = final.join(least_of, "root").select(F.col("fp").alias("fp_"), "component_id")
+    by_set = final.join(least_of, "root").select(F.col("fp").alias("fp_"), "component_id", "root")
     joined = rows.join(by_set, (F.col("fp") == F.col("fp_")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col))
-    return joined.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"), F.col("text_hash").alias("row_hash"), "row")
+    return joined.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"), F.col("text_hash").alias("row_hash"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns: one document of each component (of equal rows with its id, one)."""
+    """The rows of docs, all columns: one document of each component, with its smallest id; all without shingles stay."""
     found = stored(near_duplicates(docs, id_col, text_col, **options), "near-found")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     gone = found.where("NOT kept").select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     left = docs.withColumn("_h", hashed).join(gone, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    # An id on several rows of one component (rare) would keep them all: then rows are numbered.
-    ids = found.where("kept AND n_shingles > 0").groupBy(id_col, "component_id").agg(F.count("*").alias("same"), F.first("row_hash").alias("_hash"))
-    if ids.where("same > 1").limit(1).count():
-        several = found.where("kept AND n_shingles > 0").select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"), F.lit(1).alias("_in")).distinct()
+    # An id (or null) on several kept rows of one component is rare; then its rows are numbered.
+    kept = found.where("kept AND n_shingles > 0")
+    if kept.groupBy("root").count().where("count > 1").limit(1).count():
+        several = kept.select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"), "root").distinct().withColumnRenamed("root", "_root")
         left = left.join(several, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-        at = F.row_number().over(W.partitionBy(id_col, "_in", F.when(F.col("_in").isNull() | F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy("_h"))
-        left = left.withColumn("_n", at).where("_n = 1 OR _in IS NULL")
+        alone = F.when(F.col("_root").isNull(), F.monotonically_increasing_id())
+        left = left.withColumn("_n", F.row_number().over(W.partitionBy("_root", alone).orderBy("_h"))).where("_n = 1")
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,6 +70,13 @@ def test_near_duplicates_of_nothing(spark):
     assert kept.columns == docs(spark).columns
 
 
+def test_one_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(7, a), (7, b), (7, a), (None, c), (None, c), (8, a + " more"), (None, b), (9, ""), (9, ""), (None, None)]
+    left = near_duplicates.keep_one(docs(spark, [(i, t, None, None, None, None, None) for i, t in data]))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(7, a), (7, b), (None, c), (9, ""), (9, ""), (None, None)])
+
+
 def test_components_are_smallest_nodes(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(300, 300)]
