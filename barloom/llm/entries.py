@@ -25,7 +25,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.near_duplicates import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_hash", "row")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_hash", "root")
 
 
 def op3_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.repeated_passages import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("mate_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,52 @@ WHERE rank <= 20
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * inter >= 85 * (x.n + y.n - inter)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a),
+smallest AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+p AS (
+  SELECT r, doc_id, i - 1 AS pos, md5(array_to_string(w[i : i + 49], ' ')) AS h
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+shared AS (SELECT h FROM p GROUP BY h HAVING min(r) <> max(r)),
+hit AS (SELECT r, doc_id, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS prior FROM p WHERE h IN (FROM shared)),
+part AS (
+  SELECT *, sum(CASE WHEN prior IS NULL OR pos > prior + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS k
+  FROM hit)
+SELECT doc_id, min(pos)::BIGINT AS start_word, (max(pos) + 50)::BIGINT AS end_word FROM part GROUP BY r, doc_id, k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from barloom.llm.quality_rules import RULES
 
-    return {"op1_source_mix": OP1_SQL, "op3_metric_tree": OP3_SQL, "op5_quality_rules": OP5_SQL.replace("{rules}", " OR ".join(f"({r.sql})" for r in RULES))}
+    return {
+        "op1_source_mix": OP1_SQL,
+        "op2_near_duplicates": OP2_SQL,
+        "op3_metric_tree": OP3_SQL,
+        "op4_repeated_passages": OP4_SQL,
+        "op5_quality_rules": OP5_SQL.replace("{rules}", " OR ".join(f"({r.sql})" for r in RULES)),
+    }
