@@ -137,6 +137,7 @@ class Subtree:
             best[rows], ids[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
             bound[rows] = np.maximum(bound[rows], best[rows, k - 1])
             reach[rows] = space.reach(q[rows], bound[rows])
+        best[best < start[:, None]] = -np.inf  # k others are better
         return best, ids
 
 
@@ -174,7 +175,7 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, factor: int = 64, id_c
     split = F.element_at(F.array(*[F.lit(int(x)) for x in subtrees]), F.col("region") + 1)
     dealt = placed.withColumn("part", F.pmod(F.hash("v"), split).cast("int"))
 
-    def build(key, f: pd.DataFrame) -> pd.DataFrame:
+    def build(key, f):
         tree = Subtree(space, root.value[key[0]], _matrix(f["v"], width), [np.asarray(i, np.int64) for i in f["ids"]])
         return pd.DataFrame({"region": [key[0]], "part": [key[1]], "tree": [pickle.dumps(tree)]})
 
@@ -202,7 +203,7 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, factor: int = 64, id_c
     asked = "query_id long, query_no long, v array<long>, bound double, region int"
     keys = ["region", "part", "block"]
 
-    def look(key, f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    def look(key, f, t):
         out = []
         for tree in map(pickle.loads, t["tree"]):
             if len(f):
