@@ -6,10 +6,12 @@
 2. The documents of a source, shuffled by a hash of their id, form a stream of
    words, cut into blocks of ``block_words`` words (the last may be shorter).
 3. Slot i of the mix has the golden-ratio point frac(i * phi), kept as a
-   32-bit integer. Cumulative target weights map points to sources; the rank
-   of a slot among the slots of its source picks the next block of that
-   source's stream, again from its start when the stream ends, until the
-   target is reached (the block that reaches it is taken in part).
+   32-bit integer. Cumulative numbers of the slots that the targets need map
+   points to sources; the rank of a slot among the slots of its source picks
+   the next block of that source's stream, again from its start when the
+   stream ends, until the target is reached (the block that reaches it is
+   taken in part). Slots that a source still lacks at the end of the sequence
+   follow it, so that every source takes its whole target.
 4. Blocks and documents are joined on (source, block).
 
 Ranks and stream positions are prefix sums in two steps, over chunks of slots
@@ -50,7 +52,7 @@ def words(text: Column) -> Column:
 @dataclass
 class Mix:
     """documents: doc columns, source_no, size, start (in its source's stream); sources: source, source_no,
-    source_size, target, quota; slots: slot, source_no, block, take (words from the block's start)."""
+    source_size, target, quota, need (slots); slots: slot, source_no, block, take (words from the block's start)."""
 
     documents: DataFrame
     sources: DataFrame
@@ -93,8 +95,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     sizes = stored(docs.select(F.col(id_col), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.md5(F.concat(name, F.lit(f":{seed}"))).alias("key")), "mix-sizes")
-    sources = stored(targets(sizes, weights, repeats), "mix-sources")
-    facts = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("t"), F.min(F.when(F.col("quota") > 0, F.col("target"))).alias("least")).first()
+    # A pass of a stream ends in a slot of its own, however short, and so does the quota.
+    need = F.expr(f"CASE WHEN quota > 0 THEN quota div source_size * ((source_size + {block_words - 1}) div {block_words}) + (quota % source_size + {block_words - 1}) div {block_words} ELSE 0L END")
+    sources = stored(targets(sizes, weights, repeats).withColumn("need", need), "mix-sources")
+    facts = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("need"), F.lit(0)).alias("slots"), F.min(F.when(F.col("need") > 0, F.col("need"))).alias("least")).first()
     rows = sizes.count()
 
     # Stream positions: sums over hash buckets, then within each.
@@ -108,19 +112,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents = own.join(before, ["source_no", "bucket"]).withColumn("start", F.col("before") + F.sum("size").over(within) - F.col("size")).select(id_col, "source_no", "size", "start")
     documents = stored(documents, "mix-documents")
 
-    # Slots: enough that even the rarest source meets its quota.
-    n = math.ceil(facts["words"] / block_words)
-    n += math.ceil(n * 0.02) + min(n, math.ceil(4 * facts["t"] / facts["least"])) if n else 0
-    ends = (F.sum("target").over(W.partitionBy(F.lit(0)).orderBy("source_no")) / F.lit(float(facts["t"] or 1)) * F.lit(float(FULL))).cast("long")
-    spans = sources.withColumn("hi", F.when(F.col("source_no") == facts["n"], F.lit(FULL)).otherwise(ends)).withColumn("lo", F.coalesce(F.lag("hi").over(W.partitionBy(F.lit(0)).orderBy("source_no")), F.lit(0)))
+    # Slots of the sequence: about enough for all. In 32 bits its gaps grow up to 7.5 / n, so a rare source may lack some.
+    n = facts["slots"]
+    n += min(n, math.ceil(4 * n / facts["least"])) if n else 0
+    in_order = W.partitionBy(F.lit(0)).orderBy("source_no")
+    ends = F.expr(f"cast(upto as decimal(20,0)) * cast({FULL} as decimal(10,0)) div cast({facts['slots'] or 1} as decimal(20,0))").cast("long")
+    spans = sources.withColumn("upto", F.sum("need").over(in_order)).withColumn("hi", ends).withColumn("lo", F.coalesce(F.lag("hi").over(in_order), F.lit(0)))
     cells = spans.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS)))).select("cell", "lo", "hi", "source_no", "source_size", "quota")
     points = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", (F.col("slot") % FULL) * F.lit(STEP) % FULL).withColumn("cell", F.shiftright("point", CELL_BITS))
     hit = points.join(F.broadcast(cells) if facts["n"] <= FEW_SOURCES else cells, "cell").where("point >= lo and point < hi").withColumn("chunk", F.shiftright("slot", CHUNK_BITS))
     counts = hit.groupBy("source_no", "chunk").agg(F.count("*").alias("inside"))
     earlier = counts.select("source_no", "chunk", (F.sum("inside").over(W.partitionBy("source_no").orderBy("chunk")) - F.col("inside")).alias("earlier"))
     rank = F.col("earlier") + F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("slot")) - 1
-    ranked = hit.join(earlier, ["source_no", "chunk"]).withColumn("rank", rank).withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-    placed = ranked.where("blocks > 0").withColumn("block", F.expr("rank % blocks")).withColumn("done", F.expr(f"(rank div blocks) * source_size + block * {block_words}"))
+    ranked = hit.join(earlier, ["source_no", "chunk"]).select("slot", "source_no", "source_size", "quota", rank.alias("rank"))
+    reached = counts.groupBy("source_no").agg(F.sum("inside").alias("reached"))
+    lacking = sources.join(reached, "source_no", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("need > reached")
+    lacking = lacking.withColumn("first", F.sum(F.col("need") - F.col("reached")).over(in_order) - F.col("need") + n).withColumn("rank", F.explode(F.sequence("reached", F.col("need") - 1)))
+    ranked = ranked.unionByName(lacking.select((F.col("first") + F.col("rank")).alias("slot"), "source_no", "source_size", "quota", "rank"))
+    placed = ranked.withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}")).where("blocks > 0")
+    placed = placed.withColumn("block", F.expr("rank % blocks")).withColumn("done", F.expr(f"(rank div blocks) * source_size + block * {block_words}"))
     take = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words, F.col("quota") - F.col("done"))
     slots = stored(placed.withColumn("take", take).where("take > 0").select("slot", "source_no", "block", "take"), "mix-slots")
     return Mix(documents, sources, slots, block_words)

@@ -166,3 +166,30 @@ def test_mixed_documents(spark):
     assert times and all(n <= 3 * there[r] for r, n in times.items())
     assert mixing.mixed_documents(empty(spark)).count() == 0
     assert mixing.mixed_sizes(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("docs_of_large", [200, 2000])
+def test_short_sources_beside_a_large_one_meet_their_quotas(spark, docs_of_large):
+    small = [("a", 60), ("b", 30), ("c", 1), ("y", 257), ("z", 2)]
+    data = [(i, "w " * n, None, s, None, None, None) for i, (s, n) in enumerate(small)]
+    data += [(100 + i, "w " * 500, None, "large", None, None, None) for i in range(docs_of_large)]
+    d = docs(spark, data)
+    taken = {r.doc_id: r.taken for r in mixing.mixed_sizes(d).collect()}
+    assert [taken[i] for i in range(len(small))] == [3 * n for _, n in small]
+    assert sum(taken.values()) == 500 * docs_of_large + sum(n for _, n in small)
+    times = Counter(r.doc_id for r in mixing.mixed_documents(d).where("doc_id < 100").collect())
+    assert times == dict.fromkeys(range(len(small)), 3)
+    slots = [r.slot for r in mixing.mix(d).slots.collect()]
+    assert len(set(slots)) == len(slots)
+
+
+def test_slots_that_the_sequence_lacks_follow_it(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 0)  # all points fall to the first source
+    d, data = mixed(spark, 40, 5)
+    m = mixing.mix(d)
+    quotas = {r.source_no: r.quota for r in m.sources.collect() if r.quota}
+    slots = m.slots.collect()
+    taken = Counter()
+    for r in slots:
+        taken[r.source_no] += r["take"]
+    assert taken == quotas and len({r.slot for r in slots}) == len(slots)
