@@ -21,6 +21,10 @@ Defined results: vectors null, or with null or non-finite components, and null
 ids take no part; shorter vectors count as padded with zeros; rows equal in id
 and vector count once; a query never finds its own id; ties go to the smaller
 id; an empty table gives an empty result.
+
+Limits: the SQL twin keeps rows equal in id and vector, so the two differ on a
+table with repeated rows; a vector whose scaled squared norm reaches 2^52 (a
+component of about 1.05e6 at factor 64) makes the whole query raise ValueError.
 """
 
 from __future__ import annotations
