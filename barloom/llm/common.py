@@ -9,6 +9,7 @@ columns, so further columns of any name never clash.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch handed to Python, so that very long texts do not add up.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: ASCII white space, the separators of words throughout the package.
 WHITE = b" \t\n\x0b\x0c\r"
 #: A word in Java and DuckDB regular expressions.
@@ -45,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set only where none is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "/tmp/checkpoints/barloom"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -96,20 +99,62 @@ def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     return T.StructField(alias or name, df.schema[name].dataType, True)
 
 
+_at_end: list[Callable[[], None]] = []
+
+
+def at_partition_end(fn: Callable[[], None]) -> Callable[[], None]:
+    """Call fn in a worker whenever a partition ends: workers are reused, what they remember must not add up."""
+    _at_end.append(fn)
+    return fn
+
+
+def give_back() -> None:
+    """Forget what this worker remembers, and return free memory to the system."""
+    for fn in _at_end:
+        fn()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def per_partition(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition function that gives its memory back at the end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, at least a row each."""
+    n = max(1, min(batch.num_rows, -(-batch.nbytes // most)))
+    step = -(-batch.num_rows // n)
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def arrow_map(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     schema: T.StructType,
+    most: int = BATCH_BYTES,
 ) -> DataFrame:
-    """mapInArrow with one result batch (or none) per input batch."""
+    """mapInArrow with one result batch (or none) per input batch, or per slice of about ``most`` bytes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in parts(batch, most) if batch.num_rows else ():
+                if (out := fn(part)) is not None:
+                    yield out
 
     session(df)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(per_partition(run), schema)
 
 
 def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:

@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from barloom.llm.common import arrow_map, batch_of, discard, field, session, stored, texts
+from barloom.llm.common import arrow_map, at_partition_end, batch_of, discard, field, per_partition, session, stored, texts
 from barloom.llm.components import components
 
 WORDS, COMPONENTS, BITS, CHUNKS, MAX_DIFF = 5, 64, 16, 14, 27
+#: Words whose hashes a worker remembers within a partition.
+MEMORY_WORDS = 80_000
 #: Members of a key whose pairs are listed; larger keys go by blocks of BLOCK members.
 FEW, BLOCK = 8, 1024
 #: Keys of more than one block up to which they are broadcast.
@@ -60,16 +62,17 @@ _CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_BOUNDS))
 
 
 class _WordHashes(dict):
-    """64-bit hash of a word; frequent words are remembered."""
+    """64-bit hash of a word; short words are remembered, up to ``MEMORY_WORDS`` (about 200 bytes each)."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 150_000 and len(word) < 32:
+        if len(self) < MEMORY_WORDS and len(word) < 32:
             self[word] = h
         return h
 
 
 _hash_of = _WordHashes()
+at_partition_end(_hash_of.clear)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             key, node = key[tail:], node[tail:]
         yield from work(key, node, True)
 
-    met = arrow_map(nodes.select("node", "sig"), explode, keyed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, met_schema)
+    met = arrow_map(nodes.select("node", "sig"), explode, keyed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(per_partition(meet), met_schema)
     met = stored(met, "near-met")
     short = nodes.select("node", "n", "sig")
 
@@ -291,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if found := compare_signatures(t.column(3).to_numpy(), t.column(4).to_numpy(), sigs, max_diff, least):
                 yield batch_of(_EDGE, [[a for a, _ in found], [b for _, b in found]])
 
-    edges = edges.unionByName(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n").mapInArrow(compare, _EDGE))
+    edges = edges.unionByName(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n").mapInArrow(per_partition(compare), _EDGE))
     classes = stored(components(edges), "near-classes")
     discard(met)
 
@@ -316,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if found:
                 yield batch_of(_EDGE, [[int(names[a]) for a, _ in found], [int(names[b]) for _, b in found]])
 
-    links = full.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(check, _EDGE)
+    links = full.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(per_partition(check), _EDGE)
     linked = components(links)
     final = nodes.select("node", "fp", "least_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = final.groupBy("root").agg(F.min("least_id").alias("component_id"))
