@@ -3,7 +3,8 @@
 Null handling common to all text operators: a null text counts as an empty
 one; ids are passed through unread, so null and repeated ids are kept row for
 row. Operators read the columns they name and return only their own result
-columns, so further columns of any name never clash.
+columns; those that return whole rows pack them into one struct first. So
+further columns of any name never clash.
 """
 
 from __future__ import annotations
@@ -95,6 +96,11 @@ def _clean() -> None:
             release(spark, path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row of docs as one struct, ``row``: helper columns beside it clash with no column of docs."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     return T.StructField(alias or name, df.schema[name].dataType, True)
 

@@ -11,15 +11,19 @@ has a kept position with at least ``least // 2`` words of the passage behind it.
 2. The others get their context (least // 2 words to the left, and as many to
    the right of the shared start). Within a group suffixes are sorted by left
    and by right context, neighbours are compared, and matches are extended to
-   both sides; a suffix that no neighbour brings to ``least`` words is compared
-   with the whole group, so none is lost. Large groups are cut into blocks and
-   each pair of blocks is a task.
+   both sides: among those alike for a words to the left, the neighbours in the
+   order of the right contexts have the longest match, for each a in turn.
+   Groups of more than ``GROUP_ROWS`` suffixes do not fit one task: there, the
+   suffixes alike for a words to the left and least // 2 - a to the right are
+   counted for each a (before the shuffle, too), which finds the same windows.
 3. The matched intervals of a text are united. Neighbouring kept positions
    overlap, so the union holds each passage from end to end.
 
-Words are compared by 32-bit hashes in step 2 (a wrong word passes with
-probability 2^-32). Exact copies of a text are one text in steps 1 and 2; from
-``least`` words on each copy is reported whole.
+Words are compared by 64-bit hashes. Copies of a text in one partition are read
+as one in steps 1 and 2; from ``least`` words on each copy is reported whole.
+Starts that very many texts share are found on a sample of texts (``SAMPLE``)
+and skip the sorted comparison of step 1, so none meets in one task; this
+changes the work, never a result.
 
 Defined results: null, empty and shorter texts have no passages; repetition
 within one document alone does not count; repeated rows are copies of each
@@ -37,10 +41,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from barloom.llm.common import arrow_map, batch_of, discard, session, stored, texts
-from barloom.llm.near_duplicates import _hash_of, deal_blocks, groups, mixed
-
-LEAST, GRAM, BLOCK, ALL_PAIRS = 50, 8, 2048, 192  # BLOCK: texts
+from barloom.llm.common import arrow_map, batch_of, discard, parts, per_partition, session, stored, texts
+from barloom.llm.near_duplicates import _hash_of, mixed
+
+LEAST, GRAM = 50, 8
+#: Suffixes of the largest group whose neighbours are compared in one task, and of those compared at a time.
+GROUP_ROWS, CHUNK_ROWS = 512, 16384
+#: Members of the largest group that is compared pair by pair: two are each other's only neighbour.
+ALL_PAIRS = 2
+#: One text in so many is looked at for starts that more than GROUP_ROWS texts share.
+SAMPLE = 32
+#: Bytes of text read at once.
+PART_BYTES = 2 << 20
 #: Shared starts up to which their lists are broadcast to the texts.
 BROADCAST_ROWS = 50_000
 
@@ -97,11 +109,12 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(-1), same.shape[-1], same.argmin(-1))
 
 
-def match(owner: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For suffixes that share a start, over all matches with other texts that reach ``least``
+def match(owner: np.ndarray, left: np.ndarray, right: np.ndarray, least: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes that share a start (those of one ``group``, rising), over all matches with other texts that reach ``least``
     words: the longest extensions to the left and to the right, and one such text's place (-1: none)."""
     g, half = len(owner), least // 2
     back, ahead, mate = np.zeros(g, np.int64), np.zeros(g, np.int64), np.full(g, -1)
+    group = np.zeros(g, np.int64) if group is None else group
 
     def offer(i: np.ndarray, j: np.ndarray, a: np.ndarray) -> None:
         """Places i match places j, a words to the left."""
@@ -111,33 +124,57 @@ def match(owner: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) ->
         np.maximum.at(ahead, i[ok], b[ok])
         mate[i[ok]] = j[ok]
 
-    if g <= ALL_PAIRS:
-        i, j = np.triu_indices(g, 1)
-        a = common_prefix(left[i], left[j])
-        offer(i, j, a)
-        offer(j, i, a)
-        return back, ahead, mate
+    size = np.unique(group, return_inverse=True, return_counts=True)
+    size = size[2][size[1]]
+    for lag in range(1, min(ALL_PAIRS, g)):
+        i = np.flatnonzero((group[lag:] == group[:-lag]) & (size[lag:] <= ALL_PAIRS))
+        a = common_prefix(left[i], left[i + lag])
+        offer(i, i + lag, a)
+        offer(i + lag, i, a)
     # Among those alike for a words to the left, sorted by right context, the neighbours
     # from other texts have the longest common prefix: for each a, compare with these.
+    at = np.flatnonzero(size > ALL_PAIRS)
     by_right = np.empty(g, np.int64)
-    by_right[np.lexsort(right.T[::-1])] = np.arange(g)
-    alike = np.zeros(g, np.int64)
+    by_right[at[np.lexsort(right[at].T[::-1])]] = np.arange(len(at))
+    alike = group.copy()
     for a in range(left.shape[1] + 1):
         if a:
-            alike = np.unique(alike * (1 << 32) + left[:, a - 1], return_inverse=True)[1]
-        order = np.lexsort((by_right, alike))
+            word = np.unique(left[at, a - 1], return_inverse=True)[1]
+            kind, n = np.unique(alike[at] * g + word, return_inverse=True, return_counts=True)[1:]
+            alike[at] = kind
+            at = at[n[kind] > 1]  # those alike with no other for a words are so for no more
+        if len(at) < 2:
+            break
+        order = at[np.lexsort((by_right[at], alike[at]))]
         kin = alike[order]
         change = np.append(True, (owner[order][1:] != owner[order][:-1]) | (kin[1:] != kin[:-1]))
         run = np.cumsum(change) - 1
         first = np.flatnonzero(change)
-        before, after = first[run] - 1, np.append(first[1:], g)[run]
+        before, after = first[run] - 1, np.append(first[1:], len(order))[run]
         for near in (before, after):
-            ok = (near >= 0) & (near < g)
+            ok = (near >= 0) & (near < len(order))
             ok[ok] &= kin[near[ok]] == kin[ok]
             offer(order[ok], order[near[ok]], np.full(int(ok.sum()), a))
     return back, ahead, mate
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column in tables of about ``rows``, no value's rows in two of them."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column(0).to_numpy()
+            end = int(np.searchsorted(key, key[-1]))
+            if end:
+                yield t.slice(0, end)
+            held, n = t.slice(end).combine_chunks().to_batches(), len(t) - end
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def unite(owner: np.ndarray, start: np.ndarray, end: np.ndarray, mate: np.ndarray) -> tuple[np.ndarray, ...]:
     """Unions of each owner's overlapping intervals, with one of their mates."""
     order = np.lexsort((start, owner))
@@ -149,6 +186,32 @@ def unite(owner: np.ndarray, start: np.ndarray, end: np.ndarray, mate: np.ndarra
     return owner[first], start[first], np.maximum.reduceat(end, first), mate[first]
 
 
+def _windows(contexts: DataFrame, least: int) -> DataFrame:
+    """Spans of suffixes in large groups: for each a, those alike for a words to the left and enough to the right."""
+    half = least // 2
+    levels = T.StructType([T.StructField("window", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("back", T.LongType()), T.StructField("at", T.ArrayType(T.LongType()))])
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 4))
+        words = np.concatenate([left[:, ::-1], right], 1)  # half before the start, half behind it
+        keys = []
+        for a in range(half + 1):
+            h = mixed(batch.column(0).to_numpy().astype(np.int64).view(np.uint64) + _U(a))
+            for k in range(half - a, least - a):
+                h = mixed(h ^ words[:, k])
+            keys.append(h.view(np.int64))
+        n = batch.num_rows
+        every = pa.array(np.tile(np.arange(n, dtype=np.int32), half + 1))
+        return batch_of(levels, [pa.array(np.concatenate(keys)), batch.column(1).take(every), pa.array(np.repeat(np.arange(half + 1), n)), batch.column(2).take(every)])
+
+    spread_out = stored(arrow_map(contexts.select("head", "text_hash", "at", "left", "right"), spread, levels, PART_BYTES), "passage-windows")
+    shared = spread_out.groupBy("window").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high")
+    met = spread_out.join(shared, "window").withColumn("place", F.explode("at"))
+    mate = F.when(F.col("text_hash") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    start = F.col("place") - F.col("back")
+    return met.select("text_hash", start.alias("start"), (start + least).alias("end"), mate.alias("mate"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per repeated passage of a document: id, start_word, end_word (exclusive), mate_id.
 
@@ -163,20 +226,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("kept", T.ArrayType(one))])
     kind = pa.list_(pa.struct([("head", pa.int64()), ("at", pa.list_(pa.int64()))]))
 
-    def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Each distinct start of a text once, with its places."""
-        n, kept = [], []
-        for t in texts(batch, 2):
-            h = word_hashes(t)
-            several: dict[int, list[int]] = {}
-            for at, head in zip(*(x.tolist() for x in kept_positions(h, least)), strict=True):
-                several.setdefault(head, []).append(at)
-            n.append(len(h))
-            kept.append([{"head": head, "at": at} for head, at in several.items()])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kept, kind)], names=own.names)
-
-    rows = stored(arrow_map(docs.select(F.col(id_col), hashed.alias("h"), F.col(text_col)), choose, own), "passage-rows")
-    suffixes = rows.select("text_hash", F.explode("kept").alias("x")).select(F.col("x.head").alias("head"), "text_hash", F.col("x.at").alias("at"))
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each distinct start of a text once, with its places; of copies in a partition only the first has them."""
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in parts(whole, PART_BYTES):
+                n, kept = [], []
+                for key, t in zip(batch.column(1).to_pylist(), texts(batch, 2), strict=True):
+                    h = word_hashes(t)
+                    several: dict[int, list[int]] = {}
+                    if key not in seen:
+                        for at, head in zip(*(x.tolist() for x in kept_positions(h, least)), strict=True):
+                            several.setdefault(head, []).append(at)
+                    seen.add(key)
+                    n.append(len(h))
+                    kept.append([{"head": head, "at": at} for head, at in several.items()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kept, kind)], names=own.names)
+
+    rows = stored(docs.select(F.col(id_col), hashed.alias("h"), F.col(text_col)).mapInArrow(per_partition(choose), own), "passage-rows")
+    starts = lambda r: r.select("text_hash", F.explode("kept").alias("x")).select(F.col("x.head").alias("head"), "text_hash", F.col("x.at").alias("at"))
+    suffixes = starts(rows)
+    sampled = starts(rows.where(F.pmod(F.xxhash64("text_hash", F.lit(5)), F.lit(SAMPLE)) == 0)).select("head", "text_hash").distinct()
+    hot = stored(sampled.groupBy("head").count().where(F.col("count") * SAMPLE > GROUP_ROWS).select("head"), "passage-hot")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of sorted (start, text) rows those whose start stands in two texts at least, copies once."""
@@ -201,7 +274,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if many.any():
                 yield from t.filter(pa.array(many)).combine_chunks().to_batches()
 
-    hits = stored(suffixes.repartition("head").sortWithinPartitions("head", "text_hash").mapInArrow(shared, known), "passage-hits")
+    cool = suffixes.join(hot, "head", "left_anti") if n_hot else suffixes
+    hits = cool.repartition("head").sortWithinPartitions("head", "text_hash").mapInArrow(per_partition(shared), known)
+    if n_hot:
+        hits = hits.unionByName(suffixes.join(hot, "head", "left_semi").groupBy("head", "text_hash").agg(F.first("at").alias("at")))
+    hits = stored(hits, "passage-hits")
 
     # -- contexts of the suffixes that are left, from one row of each text
     firsts = rows.groupBy("text_hash").agg(F.min(id_col).alias("_id"), F.max(id_col).alias("_other"), F.count("*").alias("copies"))
@@ -212,12 +289,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Places of a text with equal contexts (a run of one line, say) match the same and are one member.
     context = T.StructType([*known.fields, T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType())])
 
-    def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows repeated in a partition count once
+        for whole in batches:
+            for batch in parts(whole, PART_BYTES):
+                yield one_batch(batch, seen)
+
+    def one_batch(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
         for h, t, several in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
-            w = np.concatenate([np.zeros(half, np.uint32), (word_hashes(t) >> _U(32)).astype(np.uint32) | np.uint32(1), np.zeros(least, np.uint32)])
+            if h in seen:
+                continue
+            seen.add(h)
             # Beyond a text's ends stand values that no other text has there.
-            w[:half], w[len(w) - least :] = np.uint32(h & 0xFFFFFFFE), np.uint32(h & 0xFFFFFFFE)
+            edge = np.full(least, h, np.int64).view(np.uint64)
+            w = np.concatenate([edge[:half], word_hashes(t), edge])
             alike: dict[tuple, list[int]] = {}
             for x in several:
                 for at in x["at"]:
@@ -228,33 +314,40 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     column.append(v)
         return batch_of(context, out)
 
-    full = arrow_map(chosen.select("_h", "_text", "hits"), contexts, context)
-    many = hits.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1")
-    dealt = deal_blocks(full, "head", many, "text_hash").select("head", "x", "y", "text_hash", "at", "left", "right")
+    full = chosen.select("_h", "_text", "hits").mapInArrow(per_partition(contexts), context)
+    many = stored(hits.groupBy("head").agg(F.sum(F.size("at")).alias("n")).where(F.col("n") > GROUP_ROWS).select("head"), "passage-many")
+    n_many = many.count()
+    if n_many:
+        full = stored(full, "passage-contexts")
+        many = F.broadcast(many) if n_many <= BROADCAST_ROWS else many
     spans = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("mate", T.LongType())])
 
+    def around(t: pa.Table | pa.RecordBatch, i: int) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(len(t), -1)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in groups(batches, 3):
-            owner = t.column(3).to_numpy()
-            if len(t) < 2 or (owner == owner[0]).all():
-                continue
-            left, right = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint32).reshape(len(t), -1) for i in (5, 6))
-            back, ahead, mate = match(owner, left, right, least)
+        for t in whole_groups(batches, CHUNK_ROWS):
+            owner, head = t.column(1).to_numpy(), t.column(0).to_numpy()
+            back, ahead, mate = match(owner, around(t, 3), around(t, 4), least, np.cumsum(np.append(False, head[1:] != head[:-1])))
             ok = np.flatnonzero(mate >= 0)
             if len(ok):
-                places = t.column(4).combine_chunks().take(pa.array(ok))
+                places = t.column(2).combine_chunks().take(pa.array(ok))
                 n = np.diff(places.offsets.to_numpy())
                 at, of = places.flatten().to_numpy(), np.repeat(ok, n)
                 yield batch_of(spans, [pa.array(c) for c in unite(owner[of], at - back[of], at + ahead[of], owner[mate[of]])])
 
-    found = stored(dealt.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y").mapInArrow(compare, spans), "passage-spans")
+    few = full.join(many, "head", "left_anti") if n_many else full
+    found = few.select("head", "text_hash", "at", "left", "right").repartition("head").sortWithinPartitions("head").mapInArrow(per_partition(compare), spans)
+    if n_many:
+        found = found.unionByName(_windows(full.join(many, "head", "left_semi"), least))
+    found = stored(found, "passage-spans")
     discard(hits)
 
     # -- unions of intervals, then back to the documents
     along = W.partitionBy("text_hash").orderBy("start", "end")
     seen = F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1))
-    parts = found.groupBy("text_hash", "start", "end").agg(F.min("mate").alias("mate")).withColumn("new", (seen.isNull() | (F.col("start") > seen)).cast("int")).withColumn("part", F.sum("new").over(along))
-    united = parts.groupBy("text_hash", "part").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("mate").alias("mate"))
+    distinct = found.groupBy("text_hash", "start", "end").agg(F.min("mate").alias("mate")).withColumn("new", (seen.isNull() | (F.col("start") > seen)).cast("int")).withColumn("part", F.sum("new").over(along))
+    united = distinct.groupBy("text_hash", "part").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("mate").alias("mate"))
     united = united.join(firsts.select(F.col("text_hash").alias("mate"), F.col("_id").alias("mate_id")), "mate").select("text_hash", "start_word", "end_word", "mate_id")
     tagged = rows.select(id_col, "text_hash", "n_words").join(firsts, "text_hash")
     whole = tagged.where((F.col("copies") > 1) & (F.col("n_words") >= least)).select(id_col, F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), F.when(F.col(id_col) == F.col("_id"), F.col("_other")).otherwise(F.col("_id")).alias("mate_id"))
