@@ -9,12 +9,16 @@
    turn is left out (the allowed error) and the rest is an index key; nodes
    that share no key cannot be within the distance. Every pair within it is
    found.
-3. Within a key, nodes are compared by signature. Small keys give their pairs;
-   large ones are cut into blocks, each pair of blocks a task, that return a
-   spanning forest of the pairs within the distance: never all pairs, but the
-   same connected classes.
-4. The classes of candidates are confirmed on full sets, again in bounded
-   blocks, and the spanning forests of confirmed links give the components.
+3. Within a key, nodes are compared by signature. Small keys give their pairs.
+   In large ones every member is compared with a leader, the smallest node;
+   members that the leader does not take are compared with all others, by
+   blocks that return a spanning forest of the pairs within the distance.
+   Never all pairs of those near one leader, but the same connected classes.
+   Keys that very many nodes share are found on a sample of nodes and are not
+   gathered in one task; this changes the work, never a result.
+4. The classes of candidates are confirmed on full sets: small classes pair by
+   pair, large ones with a leader and blocks for the rest, as above. The
+   spanning forests of confirmed links give the components.
 
 MinHash is the one place where a link can be missed: a pair of similarity 0.85
 differs in more than 27 of 64 components with probability 1e-8 (0.8: 1e-5), and a pair
@@ -32,23 +36,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from barloom.llm.common import arrow_map, at_partition_end, batch_of, discard, field, per_partition, session, stored, texts
+from barloom.llm.common import arrow_map, at_partition_end, batch_of, discard, field, packed, per_partition, session, stored, texts
 from barloom.llm.components import components
 
 WORDS, COMPONENTS, BITS, CHUNKS, MAX_DIFF = 5, 64, 16, 14, 27
 #: Words whose hashes a worker remembers within a partition.
 MEMORY_WORDS = 80_000
-#: Members of a key whose pairs are listed; larger keys go by blocks of BLOCK members.
+#: Members of a key whose pairs are listed; larger keys go by a leader, and blocks of BLOCK members for those it does not take.
 FEW, BLOCK = 8, 1024
-#: Keys of more than one block up to which they are broadcast.
+#: One node in so many is looked at for keys that more than HOT nodes share.
+SAMPLE, HOT = 32, 512
+#: Rows of a table of keys or leaders up to which it is broadcast.
 FEW_LARGE = 100_000
 #: Shingles of a block in which links are confirmed.
 BLOCK_SHINGLES = 1_000_000
+#: Bytes of text whose sets are made at once.
+PART_BYTES = 2 << 20
 #: Candidate rows up to which their keys are broadcast to the texts (32 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -155,14 +162,26 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tup
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def deal_blocks(members: DataFrame, key: str, sizes: DataFrame, by: str = "node") -> DataFrame:
-    """Deal the members of each key to pairs of blocks; sizes: key, n_blocks (only keys with more than one)."""
-    # Broadcast a checked few, so members of a hot key are not dealt to one task by it.
-    few = sizes.limit(FEW_LARGE + 1).count() <= FEW_LARGE
-    m = members.join(F.broadcast(sizes) if few else sizes, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    m = m.withColumn("own", F.pmod(F.xxhash64(by, F.lit(11)), F.col("n_blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-    return m.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("n_blocks", "own", "other")
+def _few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast if it is small: then rows of a hot key need not meet in one task."""
+    most = FEW_LARGE if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def deal_rest(members: DataFrame, rest: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """Members of the keys of ``rest``, dealt to (key, x, y): each of the rest meets every member once.
+
+    rest: key, node, all of them members. Blocks hold BLOCK members, or ``most`` by weight, on average.
+    """
+    size = lambda df, name: df.groupBy(key).agg(F.ceil(F.greatest(F.sum(weight) / most, F.count("*") / BLOCK)).cast("int").alias(name))
+    own = members.join(_few(rest.select(key).distinct()), key, "left_semi")
+    chosen = own.join(rest, [key, "node"], "left_semi")
+    sizes = _few(stored(size(own, "n_all").join(size(chosen, "n_rest"), key), "near-blocks"))
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = [(chosen, block("n_rest"), each("n_all"), "y"), (own, block("n_all"), each("n_rest"), "x")]
+    out = [df.join(sizes, key).withColumn("x" if at == "y" else "y", fixed).withColumn(at, spread).select(*members.columns, "x", "y") for df, fixed, spread, at in sides]
+    return out[0].unionByName(out[1])
 
 
 def compare_signatures(nodes: np.ndarray, n: np.ndarray, sigs: np.ndarray, max_diff: int, least: int) -> list[tuple[int, int]]:
@@ -271,30 +290,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             key, node = key[tail:], node[tail:]
         yield from work(key, node, True)
 
-    met = arrow_map(nodes.select("node", "sig"), explode, keyed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(per_partition(meet), met_schema)
+    keys = lambda df: arrow_map(df.select("node", "sig"), explode, keyed)
+    hot = stored(keys(nodes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SAMPLE)) == 0)).groupBy("key").count().where(F.col("count") * SAMPLE > HOT).select("key"), "near-hot")
+    n_hot = hot.count()
+    cool = keys(nodes).join(_few(hot), "key", "left_anti") if n_hot else keys(nodes)
+    met = cool.repartition("key").sortWithinPartitions("key", "node").mapInArrow(per_partition(meet), met_schema)
+    if n_hot:
+        met = met.unionByName(keys(nodes).join(_few(hot), "key", "left_semi").select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b")))
     met = stored(met, "near-met")
     short = nodes.select("node", "n", "sig")
 
     def within(batch: pa.RecordBatch) -> pa.RecordBatch:
         s1, s2 = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for i in (4, 5))
         near = ((s1 != s2).sum(1) <= max_diff) & fits(batch.column(2).to_numpy(), batch.column(3).to_numpy(), least)
-        return batch_of(_EDGE, [batch.column(0), batch.column(1)]).filter(pa.array(near))
+        return batch_of(judged, [batch.column(0), batch.column(1), pa.array(near)])
 
-    pairs = met.where("key IS NULL").select("a", "b").distinct()
-    pairs = pairs.join(short.toDF("a", "n1", "s1"), "a").join(short.toDF("b", "n2", "s2"), "b").select("a", "b", "n1", "n2", "s1", "s2")
-    edges = arrow_map(pairs, within, _EDGE)
+    judged = T.StructType([*_EDGE.fields, T.StructField("near", T.BooleanType())])
 
-    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
-    many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1")
-    dealt = deal_blocks(members, "key", many).join(short, "node").select("key", "x", "y", "node", "n", "sig")
+    def judge(pairs: DataFrame, others: DataFrame) -> DataFrame:
+        both = pairs.join(short.toDF("a", "n1", "s1"), "a").join(others.toDF("b", "n2", "s2"), "b")
+        return arrow_map(both.select("a", "b", "n1", "n2", "s1", "s2"), within, judged)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in groups(batches, 3):
-            sigs = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-            if found := compare_signatures(t.column(3).to_numpy(), t.column(4).to_numpy(), sigs, max_diff, least):
-                yield batch_of(_EDGE, [[a for a, _ in found], [b for _, b in found]])
+    edges = judge(met.where("key IS NULL").select("a", "b").distinct(), short).where("near").select("a", "b")
 
-    edges = edges.unionByName(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n").mapInArrow(per_partition(compare), _EDGE))
+    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    leaders = stored(members.groupBy("key").agg(F.min("node").alias("b")), "near-leaders")
+    if leaders.limit(1).count():
+        star = members.join(_few(leaders), "key").where("node <> b").select("key", F.col("node").alias("a"), "b")
+        led = stored(judge(star.select("a", "b").distinct(), _few(short.join(leaders.select(F.col("b").alias("node")).distinct(), "node", "left_semi"))), "near-led")
+        edges = edges.unionByName(led.where("near").select("a", "b"))
+        far = led.where("NOT near").select("a", "b")
+        if far.limit(1).count():
+            rest = stored(star.join(_few(far), ["a", "b"], "left_semi").select("key", F.col("a").alias("node")), "near-rest")
+            dealt = deal_rest(members, rest, "key", F.lit(0), BLOCK).join(short, "node").select("key", "x", "y", "node", "n", "sig")
+
+            def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for _, t in groups(batches, 3):
+                    names, at = np.unique(t.column(3).to_numpy(), return_index=True)
+                    sigs = np.frombuffer(b"".join(t.column(5).take(pa.array(at)).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+                    if found := compare_signatures(names, t.column(4).to_numpy()[at], sigs, max_diff, least):
+                        yield batch_of(_EDGE, [[a for a, _ in found], [b for _, b in found]])
+
+            edges = edges.unionByName(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(per_partition(compare), _EDGE))
     classes = stored(components(edges), "near-classes")
     discard(met)
 
@@ -309,38 +346,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return batch_of(sets, [batch.column(0), batch.column(1), [shingles(t, words).tobytes() for t in texts(batch, 2)]])
 
     chosen = docs.select(F.col(id_col).alias("_own"), hashed.alias("_h"), F.col(text_col).alias("_text")).join(wanted, (F.col("_h") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_id")))
-    full = deal_blocks(arrow_map(chosen.select("root", "node", "_text"), gather, sets), "root", heavy).select("root", "x", "y", "node", "found")
+    full = arrow_map(chosen.select("root", "node", "_text"), gather, sets, PART_BYTES)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, 3):
             names, at = np.unique(t.column(3).to_numpy(), return_index=True)  # repeated rows count once
-            raw = t.column(4).to_pylist()
-            found = confirm([np.frombuffer(raw[i], np.uint64) for i in at], least)
-            if found:
+            raw = t.column(4).take(pa.array(at)).to_pylist()
+            if found := confirm([np.frombuffer(r, np.uint64) for r in raw], least):
                 yield batch_of(_EDGE, [[int(names[a]) for a, _ in found], [int(names[b]) for _, b in found]])
 
-    links = full.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(per_partition(check), _EDGE)
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        return dealt.select("root", "x", "y", "node", "found").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(per_partition(check), _EDGE)
+
+    heavy = stored(heavy, "near-heavy")
+    n_heavy, no = heavy.count(), F.lit(0).cast("int")
+    few_heavy = _few(heavy) if n_heavy else heavy
+    links = confirmed((full.join(few_heavy, "root", "left_anti") if n_heavy else full).withColumn("x", no).withColumn("y", no))
+    if n_heavy:
+        large = full.join(few_heavy, "root")
+        leads = F.col("node") == F.col("root")
+        spread = large.withColumn("x", F.explode(F.when(leads, F.sequence(no, F.col("n_blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("n_blocks")).cast("int")))))
+        spread = spread.withColumn("y", (~leads).cast("int")).select("root", "x", "y", "node", "found")  # the leader comes first
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(node, root) of members linked to their leader, (node, null) of the others."""
+            at, lead = None, np.zeros(0, np.uint64)
+            for batch in batches:
+                out: list[list] = [[], []]
+                for root, x, y, node, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    found = np.frombuffer(raw, np.uint64)
+                    if y == 0:
+                        at, lead = (root, x), found
+                    elif (root, x) != at:
+                        raise ValueError("a block has no leader")
+                    else:
+                        both = len(np.intersect1d(lead, found, assume_unique=True)) if fits(len(lead), len(found), least) else 0
+                        out[0].append(node)
+                        out[1].append(root if 100 * both >= least * (len(lead) + len(found) - both) else None)
+                yield batch_of(_EDGE, out)
+
+        led = stored(spread.repartition("root", "x").sortWithinPartitions("root", "x", "y").mapInArrow(per_partition(follow), _EDGE), "near-follow")
+        links = links.unionByName(led.where("b IS NOT NULL"))
+        alone = led.where("b IS NULL").select(F.col("a").alias("node"))
+        if alone.limit(1).count():
+            rest = stored(classes.join(alone.distinct(), "node", "left_semi").select("root", "node"), "near-alone")
+            blocks = deal_rest(asked.select("root", "node", "n"), rest, "root", F.col("n"), BLOCK_SHINGLES).select("root", "x", "y", "node").distinct()
+            links = links.unionByName(confirmed(full.dropDuplicates(["root", "node"]).join(blocks, ["root", "node"])))
     linked = components(links)
     final = nodes.select("node", "fp", "least_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = final.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_set = final.join(least_of, "root").select(F.col("fp").alias("fp_"), "component_id", "root")
-    joined = rows.join(by_set, (F.col("fp") == F.col("fp_")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col))
-    return joined.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"), F.col("text_hash").alias("row_hash"), "root")
+    told = rows.where("n > 0").join(by_set, F.col("fp") == F.col("fp_")).select(id_col, F.col("n").alias("n_shingles"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), F.col("text_hash").alias("row_hash"), "root")
+    # Texts without words all have the same empty set; they join nothing.
+    silent = rows.where("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"), F.col("text_hash").alias("row_hash"), F.lit(None).cast("long").alias("root"))
+    return told.unionByName(silent)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns: one document of each component, with its smallest id; all without shingles stay."""
     found = stored(near_duplicates(docs, id_col, text_col, **options), "near-found")
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    gone = found.where("NOT kept").select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"))
+    gone = found.where("NOT kept").select(F.col(id_col).alias("gone_id"), F.col("row_hash").alias("gone_hash"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.withColumn("_h", hashed).join(gone, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    # An id (or null) on several kept rows of one component is rare; then its rows are numbered.
+    hashed = F.xxhash64(F.coalesce(F.col("row")[text_col], F.lit("")))
+    rows = packed(docs).select("row", F.col("row")[id_col].alias("id"), hashed.alias("hash"))
+    left = rows.join(gone, (F.col("hash") == F.col("gone_hash")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    # An id (or null) on several kept rows of one component is rare; then one of these rows stays, the first by its hash.
     kept = found.where("kept AND n_shingles > 0")
-    if kept.groupBy("root").count().where("count > 1").limit(1).count():
-        several = kept.select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"), "root").distinct().withColumnRenamed("root", "_root")
-        left = left.join(several, (F.col("_h") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-        alone = F.when(F.col("_root").isNull(), F.monotonically_increasing_id())
-        left = left.withColumn("_n", F.row_number().over(W.partitionBy("_root", alone).orderBy("_h"))).where("_n = 1")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = stored(kept.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "near-again")
+    n = again.count()
+    if not n:
+        return left.select("row.*")
+    several = kept.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "root").groupBy(F.col(id_col).alias("again_id"), F.col("row_hash").alias("again_hash")).agg(F.first("root").alias("root"))
+    tied = left.join(F.broadcast(several) if several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else several, (F.col("hash") == F.col("again_hash")) & F.col("id").eqNullSafe(F.col("again_id")), "left")
+    values = [F.col("row").getField(f.name) for f in docs.schema]
+    order = F.xxhash64(*[x for v in values for x in (v.isNull(), v.cast("string"))])
+    one = tied.where("root IS NOT NULL").groupBy("root").agg(F.min_by("row", F.struct("hash", order)).alias("row"))
+    return tied.where("root IS NULL").select("row.*").unionAll(one.select("row.*"))
