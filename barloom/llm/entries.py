@@ -31,7 +31,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.metric_tree import top_k
 
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(table(spark, sf_dir, "embeddings"), copies=True)
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
