@@ -4,7 +4,8 @@ A text is a vector of hashed letter trigrams (counts under a square root, of
 length 1). One-versus-one linear support vector machines choose the family;
 others, each trained on two languages of one family only, choose the language
 among close relatives. Training rows are a bounded sample, the same number for
-each language, chosen by a hash of the id; all texts are predicted, whole.
+each language, chosen by a hash of id and text (rows equal in both count once,
+so repeated rows cannot outgrow the bound); all texts are predicted, whole.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 or where nothing could be learned; ids may be null or repeated.
@@ -35,10 +36,15 @@ TRAIN_ROWS, LANGUAGE_ROWS = 8000, 1500
 DIMS = 2048
 _SHIFT = 32 - 11
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTERS = re.compile(r"[^\W\d_]+")  # all letters, and numerals such as ½ and ²
 _FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Some character of the Unicode category L."""
+    return any(c.isalpha() for m in _MAYBE_LETTERS.finditer(text) for c in m[0])
+
+
 def vector(text: str) -> np.ndarray:
     """The trigram vector of a whole text."""
     raw = np.frombuffer((b" " + text.lower().encode().translate(_FOLD) + b" "), np.uint8).astype(np.uint32)
@@ -122,11 +128,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, families:
         return None
     each = min(LANGUAGE_ROWS, max(2, rows // len(counts)))
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, each / r[1]))])
-    chosen = usable.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < rate[F.col(lang_col)] * (1 << 30))
+    chosen = usable.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < rate[F.col(lang_col)] * (1 << 30)).select(id_col, lang_col, text_col).distinct()
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(lang, vector(t).tobytes()) for lang, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) if _LETTER.search(t)]
+        found = [(lang, vector(t).tobytes()) for lang, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) if has_letter(t)]
         return batch_of(schema, [[a for a, _ in found], [b for _, b in found]])
 
     found = sorted((r[0], bytes(r[1])) for r in arrow_map(chosen.select(lang_col, text_col), measure, schema).collect())
@@ -145,7 +151,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
         several = texts(batch)
         names, score = ["und"] * len(several), np.zeros(len(several))
-        some = [i for i, t in enumerate(several) if _LETTER.search(t)] if model.value else []
+        some = [i for i, t in enumerate(several) if has_letter(t)] if model.value else []
         for k in range(0, len(some), 256):
             part = some[k : k + 256]
             found, score[part] = model.value.predict(np.stack([vector(several[i]) for i in part]))
