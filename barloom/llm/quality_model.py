@@ -7,8 +7,8 @@ flattened into arrays: every tree is a complete binary tree of one depth, so a
 batch walks all its rows down a tree with a few numpy look-ups a level.
 
 Defined results: a null text has the statistics of the empty text; without any
-labelled row every score is 0.5; repeated labels each count; ids may be null
-or repeated.
+labelled row every score is 0.5; equal labels of an id count once, and so do
+rows equal in id and text; ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import arrow_map, batch_of, field, held_out, session, texts
+from barloom.llm.common import arrow_map, batch_of, field, held_out, session, stored, texts
 from barloom.llm.quality_rules import Page
 
-#: Labelled rows that training takes at most (in expectation, chosen by a hash of the id).
+#: Labelled texts that training takes at most (in expectation, chosen by a hash of id, text and label).
 TRAIN_ROWS = 16_000
 BINS, DEPTH, TREES, RATE, SMOOTH, LEAST = 64, 4, 80, 0.15, 1.0, 5
 
@@ -129,13 +129,15 @@ def _features(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Learn from labelled rows that are not held out, ``rows`` of them in expectation at most."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("y"))
-    total = known.count()
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    pairs = stored(docs.select(F.col(id_col).alias("id"), hashed.alias("hash")).join(known, "id").distinct(), "quality-labelled")
+    total = pairs.count()
     if total > rows:
-        known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+        pairs = pairs.where(F.pmod(F.xxhash64("id", "hash", "y"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
     # Bounded by `rows`, so it may be broadcast; the texts stay where they are.
-    chosen = docs.select(F.col(id_col), F.col(text_col).alias("text_")).join(F.broadcast(known), id_col)
-    found = sorted((r[0], r[1], tuple(r[2])) for r in _features(chosen, [id_col, "y"], "text_").collect())
+    chosen = docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), F.col(text_col).alias("text_")).join(F.broadcast(pairs), ["id", "hash"]).dropDuplicates(["id", "hash", "y"])
+    found = sorted((r[0], r[1], tuple(r[2])) for r in _features(chosen, ["id", "y"], "text_").collect())
     x = np.array([r[2] for r in found]) if found else np.zeros((0, N_FEATURES))
     return grow(x, np.array([r[1] for r in found], float))
 
