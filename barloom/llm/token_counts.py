@@ -4,13 +4,16 @@ A text splits into pre-tokens and no merge crosses their borders, so the
 tokens of a text are the sum, over its distinct pre-tokens, of frequency times
 pieces. Pieces are counted once per distinct pre-token:
 
-* a dictionary of the commonest pre-tokens, found on a bounded sample of texts
-  and bounded in entries, is counted first and broadcast; it settles most
-  occurrences where the text is read (and which pre-tokens it holds changes
-  the work, never a count);
+* a dictionary of the commonest pre-tokens of any length, found on a bounded
+  sample of texts and bounded in entries and bytes (long ones stand there by
+  their hash), is counted first and broadcast; it settles most occurrences
+  where the text is read (and which pre-tokens it holds changes the work,
+  never a count);
 * all other (document, pre-token, frequency) rows are dealt by pre-token,
   sorted, counted once per distinct pre-token and joined there, and summed by
-  document. Pre-tokens frequent enough to be hot are in the dictionary.
+  document. A pre-token of a share f of all documents is missed by the sample
+  with probability (1 - f)^SAMPLE_ROWS, so no key of a thousandth or more of
+  the documents is dealt to one task (5e-5).
 
 Defined results: null counts as the empty text (0 tokens, 0 bytes); ids may be
 null or repeated, and repeated rows each come back.
@@ -29,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import arrow_map, batch_of, field, session, texts
+from barloom.llm.common import arrow_map, batch_of, field, per_partition, session, texts
 
 #: The pre-tokens of byte-level BPE (fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts beyond these letters are split by the library itself (other Unicode tables may differ).
 PLAIN = regex.compile("[\t-\r -~ -ɏ‐-‧‰-⁞€]*")
-SAMPLE_ROWS, ENTRIES, LONGEST = 10_000, 1 << 18, 64
+SAMPLE_ROWS, ENTRIES = 10_000, 1 << 18
+#: Characters from which on a pre-token stands in the dictionary by its hash.
+LONG = 64
 
 _loaded: dict[str, PreTokens] = {}
 
@@ -74,24 +79,31 @@ def load(path: str) -> PreTokens:
     return _loaded[path]
 
 
+def entry(token: str) -> str:
+    """The dictionary's key of a pre-token: itself, or a 128-bit hash (no pre-token has \\0 before letters or digits)."""
+    return token if len(token) < LONG else "\0" + xxhash.xxh3_128_hexdigest(token.encode())
+
+
 def common_pieces(docs: DataFrame, text_col: str, path: str, rows: int, entries: int) -> dict[str, int]:
-    """Pieces of the commonest pre-tokens (``entries`` at most, each up to LONGEST characters) of a sample."""
-    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])
+    """Pieces of the commonest pre-tokens (``entries`` at most, by ``entry``) of a sample."""
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType()), T.StructField("pieces", T.LongType())])
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: Counter[str] = Counter()
         for t in texts(batch, 0):
             found.update(load(path).split(t)[0])
-        found = {k: v for k, v in found.items() if len(k) <= LONGEST}
-        return batch_of(schema, [list(found), list(found.values())])
+        long = [t for t in found if len(t) >= LONG]
+        pieces = dict(zip(long, load(path).pieces(long), strict=True))
+        return batch_of(schema, [[entry(t) for t in found], list(found.values()), [pieces.get(t) for t in found]])
 
     total = docs.count()
     sample = docs.select(F.col(text_col).alias("text"))
     if total > rows:
         sample = sample.sample(fraction=rows / total, seed=7)
-    top = arrow_map(sample, split, schema).groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(entries)
-    tokens = [x["token"] for x in top.select("token").collect()]
-    return dict(zip(tokens, load(path).pieces(tokens), strict=True))
+    top = arrow_map(sample, split, schema).groupBy("token").agg(F.sum("n").alias("n"), F.max("pieces").alias("pieces")).where("n > 1").orderBy(F.desc("n"), "token").limit(entries)
+    found = {r["token"]: r["pieces"] for r in top.collect()}
+    short = [t for t, k in found.items() if k is None]
+    return found | dict(zip(short, load(path).pieces(short), strict=True))
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, sample_rows: int = SAMPLE_ROWS, entries: int = ENTRIES) -> DataFrame:
@@ -104,18 +116,19 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         T.StructField("token", T.StringType()),
         T.StructField("n", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
+        T.StructField("place", T.IntegerType()),
     ])
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         get, split = known.value.get, load(path).split
-        row, hashes, tokens, ns, sizes = [], [], [], [], []
+        row, hashes, tokens, ns, sizes, places = [], [], [], [], [], []
         for i, t in enumerate(texts(batch)):
             raw = t.encode()
             h = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
             found, total = split(t)
             own = []
             for token, n in Counter(found).items():
-                if (k := get(token)) is None:
+                if (k := get(token if len(token) < LONG else entry(token))) is None:
                     own.append(token)
                     ns.append(n)
                 else:
@@ -126,11 +139,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             row += [i] * (len(own) + 1)
             hashes += [h] * (len(own) + 1)
             sizes += [None] * len(own) + [len(raw)]
-        return batch_of(schema, [batch.column(0).take(pa.array(row, pa.int32())), hashes, tokens, ns, sizes])
+            places += [None] * len(own) + [i]
+        return batch_of(schema, [batch.column(0).take(pa.array(row, pa.int32())), hashes, tokens, ns, sizes, places])
 
     rows = arrow_map(docs.select(id_col, text_col), read, schema)
-    # A document's own row has no token and is dealt by its text, else nulls would meet in one task.
-    dealt = rows.repartition(F.when(F.col("token").isNull(), F.col("text_hash")).otherwise(F.xxhash64("token")))
+    # A document's own row has no token and is dealt by its text and its place in the batch, else nulls (and copies) would meet in one task.
+    dealt = rows.repartition(F.when(F.col("token").isNull(), F.xxhash64("text_hash", "place")).otherwise(F.xxhash64("token"))).drop("place")
     summed = T.StructType([schema.fields[0], schema.fields[1], schema.fields[3], schema.fields[4]])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +162,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 last, k = end, pieces[end]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(4)], names=summed.names)
 
-    per_text = dealt.sortWithinPartitions("token").mapInArrow(join, summed).groupBy(id_col, "text_hash").agg(F.sum("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"))
+    per_text = dealt.sortWithinPartitions("token").mapInArrow(per_partition(join), summed).groupBy(id_col, "text_hash").agg(F.sum("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"))
     # k equal rows gave k equal shares; each comes back once for each row.
     n_tokens = F.expr("n div copies")
     return per_text.select(id_col, "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
