@@ -42,11 +42,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from barloom.llm.common import arrow_map, batch_of, discard, parts, per_partition, session, stored, texts
-from barloom.llm.near_duplicates import _hash_of, mixed
+from barloom.llm.near_duplicates import _few, _hash_of, mixed
 
 LEAST, GRAM = 50, 8
-#: Suffixes of the largest group whose neighbours are compared in one task, and of those compared at a time.
-GROUP_ROWS, CHUNK_ROWS = 512, 16384
+#: Suffixes of the largest group whose neighbours are compared in one task (400 bytes each), and of those compared at a time.
+GROUP_ROWS, CHUNK_ROWS = 16384, 16384
 #: Members of the largest group that is compared pair by pair: two are each other's only neighbour.
 ALL_PAIRS = 2
 #: One text in so many is looked at for starts that more than GROUP_ROWS texts share.
@@ -206,7 +206,7 @@ def _windows(contexts: DataFrame, least: int) -> DataFrame:
 
     spread_out = stored(arrow_map(contexts.select("head", "text_hash", "at", "left", "right"), spread, levels, PART_BYTES), "passage-windows")
     shared = spread_out.groupBy("window").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high")
-    met = spread_out.join(shared, "window").withColumn("place", F.explode("at"))
+    met = spread_out.join(_few(shared), "window").withColumn("place", F.explode("at"))
     mate = F.when(F.col("text_hash") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     start = F.col("place") - F.col("back")
     return met.select("text_hash", start.alias("start"), (start + least).alias("end"), mate.alias("mate"))
