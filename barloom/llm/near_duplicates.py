@@ -21,7 +21,7 @@
    spanning forests of confirmed links give the components.
 
 MinHash is the one place where a link can be missed: a pair of similarity 0.85
-differs in more than 27 of 64 components with probability 1e-8 (0.8: 1e-5), and a pair
+differs in more than 27 of 64 components with probability 3.5e-8 (0.8: 1.4e-5), and a pair
 missed still ends in one component if others link it.
 
 Defined results: null or empty texts have no shingles and are linked with
@@ -47,7 +47,7 @@ WORDS, COMPONENTS, BITS, CHUNKS, MAX_DIFF = 5, 64, 16, 14, 27
 #: Words whose hashes a worker remembers within a partition.
 MEMORY_WORDS = 80_000
 #: Members of a key whose pairs are listed; larger keys go by a leader, and blocks of BLOCK members for those it does not take.
-FEW, BLOCK = 8, 1024
+FEW, BLOCK = 8, 512
 #: One node in so many is looked at for keys that more than HOT nodes share.
 SAMPLE, HOT = 32, 512
 #: Rows of a table of keys or leaders up to which it is broadcast.
@@ -171,17 +171,16 @@ def _few(df: DataFrame, most: int | None = None) -> DataFrame:
 def deal_rest(members: DataFrame, rest: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
     """Members of the keys of ``rest``, dealt to (key, x, y): each of the rest meets every member once.
 
-    rest: key, node, all of them members. Blocks hold BLOCK members, or ``most`` by weight, on average.
+    rest: some of the members, with the same columns. Blocks hold BLOCK members, or ``most`` by weight, on average.
     """
     size = lambda df, name: df.groupBy(key).agg(F.ceil(F.greatest(F.sum(weight) / most, F.count("*") / BLOCK)).cast("int").alias(name))
-    own = members.join(_few(rest.select(key).distinct()), key, "left_semi")
-    chosen = own.join(rest, [key, "node"], "left_semi")
-    sizes = _few(stored(size(own, "n_all").join(size(chosen, "n_rest"), key), "near-blocks"))
+    sizes = _few(stored(size(rest, "n_rest").join(size(members, "n_all"), key), "near-blocks"))
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = [(chosen, block("n_rest"), each("n_all"), "y"), (own, block("n_all"), each("n_rest"), "x")]
-    out = [df.join(sizes, key).withColumn("x" if at == "y" else "y", fixed).withColumn(at, spread).select(*members.columns, "x", "y") for df, fixed, spread, at in sides]
-    return out[0].unionByName(out[1])
+    columns = [F.col(c) for c in members.columns]
+    left = rest.join(sizes, key).withColumn("x", block("n_rest")).withColumn("y", each("n_all")).select(*columns, "x", "y")
+    right = members.join(sizes, key).withColumn("y", block("n_all")).withColumn("x", each("n_rest")).select(*columns, "x", "y")
+    return left.unionByName(right)
 
 
 def compare_signatures(nodes: np.ndarray, n: np.ndarray, sigs: np.ndarray, max_diff: int, least: int) -> list[tuple[int, int]]:
@@ -389,7 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(led.where("b IS NOT NULL"))
         alone = led.where("b IS NULL").select(F.col("a").alias("node"))
         if alone.limit(1).count():
-            rest = stored(classes.join(alone.distinct(), "node", "left_semi").select("root", "node"), "near-alone")
+            rest = stored(asked.join(alone.distinct(), "node", "left_semi").select("root", "node", "n"), "near-alone")
             blocks = deal_rest(asked.select("root", "node", "n"), rest, "root", F.col("n"), BLOCK_SHINGLES).select("root", "x", "y", "node").distinct()
             links = links.unionByName(confirmed(full.dropDuplicates(["root", "node"]).join(blocks, ["root", "node"])))
     linked = components(links)
