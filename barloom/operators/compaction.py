@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.layout import number_rows, with_chunks
-from barloom.operators.zonemap import block_statistics, chunk_statistics
+from barloom.operators.zonemap import BLOCK_TABLE, block_statistics, chunk_statistics, chunks_of_blocks
 from barloom.schema import BLOCK_ROWS, CHUNK_ROWS, COLUMNS, LAYOUTS
 from barloom.sources import store
 from barloom.sources.log import read_log
@@ -47,16 +47,21 @@ def compact(spark: SparkSession, root: str, name: str, chunk_rows: int = CHUNK_R
         raise FileExistsError(table.manifest)
     if store.names(spark, table.chunks):
         raise FileExistsError(table.chunks)
-    numbered = number_rows(read_log(spark, table), layout)
+    logged = store.staged(read_log(spark, table), "log")[0]  # the log's text is parsed once
+    numbered = number_rows(logged, layout)
     total = numbered.count()
     if not total:
         raise ValueError(f"the log of {name} has no rows")
     placed = with_chunks(numbered.select(*COLUMNS, "rn"), chunk_rows, block_rows)
     chunk_count = -(-total // chunk_rows)
     write_chunks(placed, table.chunks, chunk_count, block_rows)
-    chunk_statistics(placed).coalesce(1).write.parquet(table.chunk_statistics)
+    chunks = chunk_statistics(placed)
     if block_index:
         block_statistics(placed).coalesce(max(1, chunk_count // 1000)).write.parquet(table.block_statistics)
+        chunks = chunks_of_blocks(spark.read.schema(BLOCK_TABLE).parquet(table.block_statistics))
+    chunks.coalesce(max(1, chunk_count // 10_000)).write.parquet(table.chunk_statistics)
+    for copy in (numbered, logged):
+        store.discard(copy)
     store.write_json(spark, table.manifest, {"table": name, "layout": layout, "chunk_size": chunk_rows, "block_size_rows": block_rows, "chunk_count": chunk_count, "total_rows": total, "block_index": block_index})
     return Compaction(name, layout, total, chunk_count, table.manifest)
 

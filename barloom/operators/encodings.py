@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from barloom.sources.store import staged
+
 
 def dictionary(placed: DataFrame, column: str = "symbol") -> DataFrame:
     """Per chunk, each value's id in order of first appearance: chunk_id, value, id."""
@@ -25,7 +27,9 @@ def dictionary_values(ids: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def offsets(placed: DataFrame, column: str = "timestamp") -> DataFrame:
-    """rn, chunk_id, the chunk's base (its first value) and each row's distance from it (may be negative)."""
+    """rn, chunk_id, the chunk's base (its first value) and each row's distance from it (may be negative). Without rows there is no base: ValueError."""
+    if placed.isEmpty():
+        raise ValueError("offsets need a first value")
     first = placed.groupBy("chunk_id").agg(F.min_by(column, "rn").alias("base"))
     return placed.join(first, "chunk_id").select("rn", "chunk_id", "base", (F.col(column) - F.col("base")).alias("offset"))
 
@@ -34,6 +38,11 @@ def from_offsets(encoded: DataFrame) -> DataFrame:
     return encoded.select("rn", "chunk_id", (F.col("base") + F.col("offset")).alias("value"))
 
 
+def plain(placed: DataFrame, *columns: str) -> DataFrame:
+    """rn, chunk_id and columns, written once as 64-bit numbers without a dictionary and read back."""
+    return staged(placed.select("rn", "chunk_id", *columns), "plain", {"parquet.enable.dictionary": "false"})[0]
+
+
 def mask(column: str, low=None, high=None, include_low: bool = True, include_high: bool = True) -> Column:
     """1 where a value lies between the bounds (either may be missing), else 0."""
     c, inside = F.col(column), F.lit(True)

@@ -27,9 +27,9 @@ def matching(bars: DataFrame, query: Query) -> DataFrame:
     return kept.select(*required_columns(query))
 
 
-def run(bars: DataFrame, query: Query, exact: bool = False, matched: bool = False) -> DataFrame:
-    """One row, or one row per group in ascending order; group columns first, then aggregates as asked."""
-    columns = [aggregate(a, exact) for a in query.aggregations]
+def run(bars: DataFrame, query: Query, exact: bool = False, matched: bool = False, whole: str = "long") -> DataFrame:
+    """One row, or one row per group in ascending order; group columns first, then aggregates as asked. whole: see ``aggregate``."""
+    columns = [aggregate(a, exact, whole) for a in query.aggregations]
     if matched:
         columns.append(F.count(F.lit(1)).alias(MATCHED))
     rows = matching(bars, query)

@@ -33,6 +33,13 @@ def block_statistics(placed: DataFrame) -> DataFrame:
     return rows.join(starts, "chunk_id").withColumn("row_start", F.col("_first") - F.col("_chunk_first")).drop("_first", "_chunk_first")
 
 
+def chunks_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Chunk statistics from those of their blocks."""
+    ends = [f(f"{c}_{f.__name__}").alias(f"{c}_{f.__name__}") for c in NUMERIC for f in (F.min, F.max)]
+    symbols = F.sort_array(F.array_distinct(F.flatten(F.collect_set("symbols"))))
+    return blocks.groupBy("chunk_id").agg(F.sum("row_count").alias("row_count"), symbols.alias("symbols"), *ends)
+
+
 def whole_chunks_as_blocks(chunks: DataFrame) -> DataFrame:
     """For chunks without block statistics: one block that is the chunk."""
     return chunks.withColumn("block_id", F.lit(0).cast("long")).withColumn("row_start", F.lit(0).cast("long"))

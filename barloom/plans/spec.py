@@ -34,6 +34,17 @@ class Query:
         return asdict(self)
 
 
+@dataclass(frozen=True)
+class Pushdown:
+    """The bounds that the scan tests on one column; a missing bound is None."""
+
+    column: str
+    low: int | float | None
+    high: int | float | None
+    include_low: bool = True
+    include_high: bool = True
+
+
 @dataclass(frozen=True)
 class Plan:
     """The chunks that survive pruning, as rows of the chunk statistics, and the columns to read."""

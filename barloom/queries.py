@@ -16,7 +16,7 @@ from barloom.operators.execution import execute_plan, frame, scanning
 from barloom.operators.layout import number_rows, with_chunks
 from barloom.operators.scan import matching, required_columns, run
 from barloom.operators.zonemap import block_statistics, chunk_statistics
-from barloom.plans.planner import plan, scan_work, surviving
+from barloom.plans.planner import plan, pushdown, scan_work, surviving
 from barloom.plans.spec import Query
 from barloom.plans.tokens import query_of
 from barloom.schema import COLUMNS, LAYOUTS, NUMERIC
@@ -113,6 +113,12 @@ TOKENS: dict[str, tuple[list[str], list[str], list[str]]] = {
 #: Filters whose pruning is compared, with their aggregate.
 PRUNED = {"threshold": ["symbol=click", "close>90"], "price": ["close>99"], "volume_eq": ["volume=50"], "low": ["low<=0.5"], "conjunction": ["symbol=view", "volume>=100", "low<5"]}
 
+#: Volumes of this size leave 64 bits when two are added.
+HUGE = 1 << 62
+#: Filters whose choice of a pushed column is compared, and that choice.
+BOUNDS = {"none": ["symbol=click"], "equal": ["close>1", "close=3", "volume>2"], "first": ["volume>2", "close>1", "close<9"], "tight": ["low>=2", "low>2", "low<=8", "low<9"], "strict": ["low<8", "low<=8"]}
+_CHOSEN = "('none', NULL, NULL, NULL, NULL, NULL), ('equal', 'close', 3, 3, true, true), ('first', 'volume', 2, NULL, false, true), ('tight', 'low', 2, 8, false, true), ('strict', 'low', NULL, 8, true, false)"
+
 _built: dict[tuple, tuple[str, str]] = {}
 
 
@@ -246,6 +252,24 @@ def queries() -> dict[str, Run]:
     out["offset_roundtrip"] = lambda spark, sf_dir: encodings.from_offsets(encodings.offsets(_placed(spark, sf_dir, "symbol_time")))
     out["native_masks"] = lambda spark, sf_dir: from_events(spark, sf_dir).select("symbol", "timestamp", encodings.mask("close", low=50, include_low=False).alias("gt"), encodings.mask("volume", low=20).alias("ge"), encodings.mask("low", high=5, include_high=False).alias("lt"), encodings.mask("high", high=90).alias("le"), encodings.mask("volume", 20, 60, True, False).alias("between"))
 
+    out["mask_between_double"] = lambda spark, sf_dir: from_events(spark, sf_dir).select("symbol", "timestamp", *[encodings.mask("close", 10.5, 60.25, a, b).alias(f"between_{int(a)}{int(b)}") for a in (True, False) for b in (True, False)])
+    out["mask_compare_int64"] = lambda spark, sf_dir: from_events(spark, sf_dir).select("symbol", "timestamp", encodings.mask("volume", low=50, include_low=False).alias("gt"), encodings.mask("volume", low=50).alias("ge"), encodings.mask("volume", high=50, include_high=False).alias("lt"), encodings.mask("volume", high=50).alias("le"), encodings.mask("timestamp", 1704067200, 1705000000, False, True).alias("between"))
+    out["plain_roundtrip"] = lambda spark, sf_dir: encodings.plain(_placed(spark, sf_dir, "time"), "close", "volume", "timestamp")
+    out["sum_beyond_64_bits"] = lambda spark, sf_dir: run(from_events(spark, sf_dir).withColumn("volume", F.lit(HUGE) - F.col("volume")), query_of("bars", ["sum:volume", "count"], [], ["symbol"]), whole="decimal")
+
+    def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Prices added as doubles, as queries do by default; the order of rows shows in the last digits only."""
+        found = run(from_events(spark, sf_dir), query_of("bars", ["sum:close", "avg:close", "sum:low", "avg:high"], ["close>5"], ["symbol"]))
+        return found.select("symbol", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+    out["agg_float_default"] = rounded
+
+    def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = [(k, pushdown(query_of("bars", ["count"], f))) for k, f in BOUNDS.items()]
+        return spark.createDataFrame([(k, *((p.column, p.low and float(p.low), p.high and float(p.high), p.include_low, p.include_high) if p else (None,) * 5)) for k, p in found], "name string, on_column string, low double, high double, include_low boolean, include_high boolean")
+
+    out["pushdown_choice"] = choices
+
     def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _placed(spark, sf_dir, "time")
         n = rows.count()
@@ -295,6 +319,13 @@ def oracle_sql() -> dict[str, str]:
     out["timestamp_offsets"] = f'{_placed_sql("symbol_time")} SELECT rn, chunk_id, {base} AS base, "timestamp" - {base} AS "offset" FROM placed'
     out["offset_roundtrip"] = f'{_placed_sql("symbol_time")} SELECT rn, chunk_id, "timestamp" AS "value" FROM placed'
     out["native_masks"] = f'WITH {_EV} SELECT symbol, "timestamp", (close > 50)::INTEGER AS gt, (volume >= 20)::INTEGER AS ge, (low < 5)::INTEGER AS lt, (high <= 90)::INTEGER AS le, (volume >= 20 AND volume < 60)::INTEGER AS "between" FROM ev'
+    sides = ", ".join(f"(close >{'=' * a} 10.5 AND close <{'=' * b} 60.25)::INTEGER AS between_{a}{b}" for a in (1, 0) for b in (1, 0))
+    out["mask_between_double"] = f'WITH {_EV} SELECT symbol, "timestamp", {sides} FROM ev'
+    out["mask_compare_int64"] = f'WITH {_EV} SELECT symbol, "timestamp", (volume > 50)::INTEGER AS gt, (volume >= 50)::INTEGER AS ge, (volume < 50)::INTEGER AS lt, (volume <= 50)::INTEGER AS le, ("timestamp" > 1704067200 AND "timestamp" <= 1705000000)::INTEGER AS "between" FROM ev'
+    out["plain_roundtrip"] = f'{_placed_sql("time")} SELECT rn, chunk_id, close, volume, "timestamp" FROM placed'
+    out["sum_beyond_64_bits"] = f"WITH {_EV} SELECT symbol, sum({HUGE}::HUGEINT - volume)::DECIMAL(38, 0) AS sum_volume, count(*)::BIGINT AS count FROM ev GROUP BY symbol"
+    out["agg_float_default"] = f"WITH {_EV} SELECT symbol, round(sum(close), 6) AS sum_close, round(avg(close), 6) AS avg_close, round(sum(low), 6) AS sum_low, round(avg(high), 6) AS avg_high FROM ev WHERE close > 5 GROUP BY symbol"
+    out["pushdown_choice"] = f"SELECT name, on_column, low::DOUBLE AS low, high::DOUBLE AS high, include_low, include_high FROM (VALUES {_CHOSEN}) AS t(name, on_column, low, high, include_low, include_high)"
     out["row_range_read"] = f'{_placed_sql("time")} SELECT rn, symbol, "timestamp", close FROM placed WHERE rn >= (SELECT count(*) // 4 FROM placed) AND rn < (SELECT count(*) // 2 FROM placed)'
     out["scan_required_columns"] = f"WITH {_EV} SELECT symbol, close, volume FROM ev WHERE symbol = 'click' AND volume > 10"
     out |= {f"chunk_prune_{k}": _pruned_chunks_sql(f) for k, f in PRUNED.items()}

@@ -61,16 +61,30 @@ def read_json(spark: SparkSession, path: str) -> Any:
 def shared_folder(spark: SparkSession) -> str:
     """Where driver and executors can both write: the checkpoint folder of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or "/tmp/checkpoints/barloom").rstrip("/")
 
 
-def staged(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+_staged: list[str] = []
+
+
+def staged(df: DataFrame, what: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """df written once and read back, and where: what follows sees the same rows on every retry."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the staged copies that df is read from."""
+    files = df.inputFiles()
+    for path in [p for p in _staged if any(p.rpartition("/")[2] in f for f in files)]:
+        _staged.remove(path)
+        remove(df.sparkSession, path)
+
+
 @dataclass(frozen=True)
 class Table:
     """The folders of one table. The manifest is written last: with it the table can be queried."""
