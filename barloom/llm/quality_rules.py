@@ -102,7 +102,8 @@ BASE = (
 )
 RULES = (
     Rule("symbols", lambda p: 100 * p.n_symbols > 5 * p.word_chars, "100 * n_symbols > 5 * word_chars"),
-    Rule("shouting", lambda p: p.n_upper > p.n_lower, "n_upper > n_lower"),
+    # An acronym in a text of another script is no shouting: capitals must be much of the text, too.
+    Rule("shouting", lambda p: p.n_upper > p.n_lower and 4 * p.n_upper > p.word_chars, "n_upper > n_lower AND 4 * n_upper > word_chars"),
     Rule("dup_lines", lambda p: 100 * p.n_dup_lines > 40 * len(p.lines), "100 * n_dup_lines > 40 * n_lines"),
     Rule("long_words", lambda p: p.word_chars > 20 * p.n_words, "word_chars > 20 * n_words"),
     Rule("tiny_words", lambda p: p.word_chars < 2 * p.n_words, "word_chars < 2 * n_words"),
