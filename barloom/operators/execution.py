@@ -20,6 +20,8 @@ _STORED = T.StructType([*BAR.fields, T.StructField("rn", T.LongType()), T.Struct
 MOST_NAMED = 2000
 #: Chunks that are read by their own paths.
 FEW = 32
+#: Rows of surviving chunks up to which one task reads them all: then no shuffle and no second stage is needed.
+ONE_TASK_ROWS = 500_000
 
 
 @contextmanager
@@ -42,7 +44,8 @@ def bars_of(spark: SparkSession, root: str, plan: Plan) -> DataFrame:
     ids = [int(c["chunk_id"]) for c in plan.candidates]
     if len(ids) <= FEW:  # no need to list the folders of the others
         reader = spark.read.schema(_STORED).option("basePath", table.chunks)
-        return reader.parquet(*(c["path"] for c in plan.candidates)) if ids else spark.createDataFrame([], _STORED)
+        bars = reader.parquet(*(c["path"] for c in plan.candidates)) if ids else spark.createDataFrame([], _STORED)
+        return bars.coalesce(1) if sum(c["row_count"] for c in plan.candidates) <= ONE_TASK_ROWS else bars
     bars = spark.read.schema(_STORED).parquet(table.chunks)
     if len(ids) == plan.total_chunks:
         return bars
